@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.docpairs import code_description_pairs
 from lodegraph.llm.residue import with_residue
+from lodegraph.llm.validity import rates, verdicts
 from lodegraph.sources.tables import table
 
 
@@ -18,6 +19,18 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return code_description_pairs(table(spark, folder, "nodes"), table(spark, folder, "file_texts"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts(table(spark, folder, "file_texts")).filter("not valid").select("path")
+
+
+def p5_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts(table(spark, folder, "file_texts")).filter("not valid").select("path", "language", "n_errors", "first_line", "first_cause")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rates(verdicts(table(spark, folder, "file_texts")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return with_residue(table(spark, folder, "documents").select("doc_id", "text")).filter("residue is not null").select("doc_id")
 
@@ -27,5 +40,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.groupBy("doc_kind", F.coalesce("residue", F.lit("content")).alias("residue")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_errors, p5_rates, p9_found, p9_kinds)}
 SQL: dict[str, str] = {}
