@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm.docpairs import code_description_pairs
+from lodegraph.llm.handwritten import mined_patterns, not_handwritten
 from lodegraph.llm.residue import with_residue
 from lodegraph.llm.validity import rates, verdicts
 from lodegraph.sources.tables import table
@@ -19,6 +20,20 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return code_description_pairs(table(spark, folder, "nodes"), table(spark, folder, "file_texts"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(table(spark, folder, "files"), table(spark, folder, "file_texts")).select("path")
+
+
+def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    found = not_handwritten(table(spark, folder, "files"), table(spark, folder, "file_texts"))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p4_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "files").filter("path is not null")
+    return mined_patterns(files.groupBy("path").agg((F.max_by("generated", "indexed_at") == 1).alias("declared")).select("path", F.coalesce("declared", F.lit(False)).alias("declared")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts(table(spark, folder, "file_texts")).filter("not valid").select("path")
 
@@ -40,5 +55,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.groupBy("doc_kind", F.coalesce("residue", F.lit("content")).alias("residue")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_errors, p5_rates, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_reasons, p4_patterns, p5_found, p5_errors, p5_rates, p9_found, p9_kinds)}
 SQL: dict[str, str] = {}
