@@ -67,6 +67,10 @@ class Workspace:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def partitions(self, df: DataFrame) -> int:
+        """Scan partitions of a table that was written here."""
+        return df._jdf.queryExecution().toRdd().getNumPartitions()
+
     def drop(self, name: str) -> None:
         remove(self.spark, self.path(name))
 
