@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.docpairs import code_description_pairs
 from lodegraph.llm.handwritten import mined_patterns, not_handwritten
+from lodegraph.llm.leakage import leaked_passages
+from lodegraph.llm.packing import containers, placed, summary
 from lodegraph.llm.residue import with_residue
 from lodegraph.llm.validity import rates, verdicts
 from lodegraph.sources.tables import table
@@ -46,6 +48,22 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(verdicts(table(spark, folder, "file_texts")))
 
 
+def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return placed(containers(table(spark, folder, "documents")))
+
+
+def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return summary(containers(table(spark, folder, "documents")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_passages(spark, folder).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return with_residue(table(spark, folder, "documents").select("doc_id", "text")).filter("residue is not null").select("doc_id")
 
@@ -55,5 +73,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.groupBy("doc_kind", F.coalesce("residue", F.lit("content")).alias("residue")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_reasons, p4_patterns, p5_found, p5_errors, p5_rates, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_reasons, p4_patterns, p5_found, p5_errors, p5_rates, p7_bins, p7_summary, p8_found, p8_passages, p9_found, p9_kinds)}
 SQL: dict[str, str] = {}
