@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import problems
+from lodegraph.queries import problems, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [problems]
+MODULES = [problems, tables]
 
 
 def queries() -> dict[str, Query]:
