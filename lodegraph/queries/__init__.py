@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import problems, tables
+from lodegraph.queries import graph, problems, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [problems, tables]
+MODULES = [problems, tables, graph]
 
 
 def queries() -> dict[str, Query]:
