@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import graph, problems, tables
+from lodegraph.queries import graph, problems, search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [problems, tables, graph]
+MODULES = [problems, tables, graph, search]
 
 
 def queries() -> dict[str, Query]:
