@@ -53,17 +53,16 @@ def hierarchies(links: DataFrame, with_paths: bool = True) -> DataFrame:
     by_parent = links.repartition(shuffle_width(spark), "kind", "parent").persist()
     path = {"path": F.array("parent")} if with_paths else {}
     start = by_parent.select("kind", "parent").distinct().join(links.select("kind", F.col("child").alias("parent")), ["kind", "parent"], "left_anti")
-    level = start.select("kind", F.col("parent").alias("node_id"), F.col("parent").alias("root_id"), F.lit(0).alias("depth"), *[c.alias(k) for k, c in path.items()])
-    frontier, seen = space.write(level, "level=0")
-    levels, depth = [frontier], 0
+    level = start.select("kind", F.col("parent").alias("node_id"), F.col("parent").alias("root_id"), *[c.alias(k) for k, c in path.items()])
+    frontier, seen = space.append(level, "reached", "depth", 0)
+    depth = 0
     while seen["rows"]:
         depth += 1
         step = frontier.withColumnRenamed("node_id", "parent").join(by_parent, ["kind", "parent"])
         longer = [F.concat("path", F.array("child")).alias("path")] if with_paths else []
-        frontier, seen = space.write(step.select("kind", F.col("child").alias("node_id"), "root_id", F.lit(depth).alias("depth"), *longer), f"level={depth}")
-        levels.append(frontier)
+        frontier, seen = space.append(step.select("kind", F.col("child").alias("node_id"), "root_id", *longer), "reached", "depth", depth)
     by_parent.unpersist()
-    reached = reduce(DataFrame.unionByName, levels)
+    reached = space.whole("reached", frontier, "depth").select("kind", "node_id", "root_id", "depth", *(["path"] if with_paths else []))
     everyone = links.select("kind", F.explode(F.array("parent", "child")).alias("node_id")).distinct()
     lost = everyone.join(reached.select("kind", "node_id"), ["kind", "node_id"], "left_anti")
     nothing = [F.lit(None).cast("array<string>").alias("path")] if with_paths else []

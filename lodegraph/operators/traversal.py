@@ -15,30 +15,25 @@ from pyspark.sql import functions as F
 from lodegraph.plans.storage import Workspace
 
 
-def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None, step=None) -> DataFrame:
+def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None) -> DataFrame:
     """(seed, id, depth, pred): nodes reached from each seed over (source, target), the seed itself at depth 0.
 
-    ``expand`` says which reached ids may be expanded (over column ``id``); ``step`` replaces the plain join: it gets
-    the frontier (seed, id) and returns (seed, id, pred).  ``pred`` is the smallest predecessor on a shortest path.
+    ``expand`` says which reached ids may be expanded (over column ``id``).  ``pred`` is the smallest predecessor on a
+    shortest path.
     """
     space = Workspace(links.sparkSession, "levels")
     links, _ = space.write(links.select("source", "target").distinct(), "links")
-    start = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).distinct()
-    frontier, seen = space.write(start, "level=0")
-    done, depth = [frontier], 0
+    start = seeds.select("seed", F.col("seed").alias("id"), F.lit(None).cast("string").alias("pred")).distinct()
+    frontier, seen = space.append(start, "reached", "depth", 0)
+    depth = 0
     while seen["rows"] and (max_depth is None or depth < max_depth):
         depth += 1
         open_ = frontier.filter(expand) if expand is not None else frontier
-        if step is None:
-            found = open_.select("seed", F.col("id").alias("source")).join(links, "source").select("seed", F.col("target").alias("id"), F.col("source").alias("pred"))
-        else:
-            found = step(open_.select("seed", "id"), links)
+        found = open_.select("seed", F.col("id").alias("source")).join(links, "source").select("seed", F.col("target").alias("id"), F.col("source").alias("pred"))
         found = found.groupBy("seed", "id").agg(F.min("pred").alias("pred"))
-        visited = reduce(DataFrame.unionByName, done).select("seed", "id")
-        fresh = found.join(visited, ["seed", "id"], "left_anti").select("seed", "id", F.lit(depth).alias("depth"), "pred")
-        frontier, seen = space.write(fresh, f"level={depth}")
-        done.append(frontier)
-    return reduce(DataFrame.unionByName, done)
+        visited = space.whole("reached", frontier, "depth").select("seed", "id")
+        frontier, seen = space.append(found.join(visited, ["seed", "id"], "left_anti").select("seed", "id", "pred"), "reached", "depth", depth)
+    return space.whole("reached", frontier, "depth").select("seed", "id", "depth", "pred")
 
 
 def reversed_links(links: DataFrame) -> DataFrame:

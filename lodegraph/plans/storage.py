@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcasts above this many bytes are never asked for explicitly.
 BROADCAST_LIMIT = 8 << 20
@@ -64,6 +65,14 @@ class Workspace:
         df.observe(seen, *columns).write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
         return self.read(name, df), seen.get
 
+    def append(self, df: DataFrame, name: str, column: str, value: int, metrics: dict | None = None) -> tuple[DataFrame, dict]:
+        """Writes ``df`` as the partition ``column = value`` of table ``name``; returns that part and its metrics."""
+        return self.write(df, f"{name}/{column}={value}", metrics=metrics)
+
+    def whole(self, name: str, part: DataFrame, column: str) -> DataFrame:
+        """All partitions of a table made by ``append``, in one scan; ``part`` is one of them."""
+        return self.spark.read.schema(T.StructType([*part.schema.fields, T.StructField(column, T.IntegerType())])).parquet(self.path(name))
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
