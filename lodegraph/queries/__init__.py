@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import graph, problems, search, tables
+from lodegraph.queries import graph, problems, resolution, search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [problems, tables, graph, search]
+MODULES = [problems, tables, graph, search, resolution]
 
 
 def queries() -> dict[str, Query]:
