@@ -458,3 +458,40 @@ def _stem_sql() -> str:
 def n7_stems(g: Graph) -> DataFrame:
     words = g.nodes("name").select(F.explode(segments(F.col("name"))).alias("word")).distinct()
     return words.select("word", F.array_join(stems(F.col("word")), " ").alias("stems"))
+
+
+# --- extraction and frameworks
+
+
+@query()
+def x2_extracted_symbols(g: Graph) -> DataFrame:
+    """Symbols extracted anew from the texts, by file and kind."""
+    from lodegraph.sources.extract import extract
+
+    return extract(g.raw("file_texts")).filter("what = 'node'").groupBy("file_path", "kind").agg(count().alias("n_symbols"))
+
+
+@query()
+def x4_extracted_references(g: Graph) -> DataFrame:
+    from lodegraph.sources.extract import extract
+
+    return extract(g.raw("file_texts")).filter("what = 'ref'").groupBy("reference_name", "reference_kind").agg(count().alias("n_sites"))
+
+
+@query(with_(FILES) + r"""select path, '/' || regexp_replace(regexp_replace(regexp_extract(path, '(?:^|/)(?:src/)?(?:pages|app)/(.*)\.[^./]+$', 1), '(^|/)(?:index|page)$', ''), '/+$', '') as route
+  from f where regexp_matches(path, '(^|/)(src/)?(pages|app)/.*\.[^./]+$')""")
+def w2_page_routes(g: Graph) -> DataFrame:
+    """Routes of files in page folders."""
+    from lodegraph.functions.routes import page_route
+
+    return g.files().select("path", page_route(F.col("path")).alias("route")).filter("route is not null")
+
+
+@query(with_(N) + "select a.id as command_id, count(*) as n_callers from (select id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as w from n where kind = 'function' and language = 'rust') a join (select lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) as w from n where kind = 'function' and language in ('typescript', 'javascript')) b on a.w = b.w where a.w <> '' group by 1")
+def w4_wire_names(g: Graph) -> DataFrame:
+    """Functions of one language and their namesakes of another, by wire name."""
+    from lodegraph.functions.routes import wire_name
+
+    rows = g.nodes("kind", "name", "language").filter("kind = 'function' and name is not null").select("id", "language", wire_name(F.col("name")).alias("w")).filter("w <> ''")
+    there = rows.filter(F.col("language").isin("typescript", "javascript")).groupBy("w").agg(count().alias("n_callers"))
+    return rows.filter("language = 'rust'").join(there, "w").select(F.col("id").alias("command_id"), "n_callers")
