@@ -23,7 +23,7 @@ def scan_project(spark: SparkSession, root: str, ignore: list[str] | None = None
         skip = skip & ignored(F.col("path"), ["*", *["!" + p for p in include]], [])
     out = out.filter(~skip & extension(F.col("path")).isin(*LANGUAGE_OF))
     fits = F.col("length") <= max_bytes
-    return out.select("path", F.when(fits, F.decode("content", F.lit("UTF-8"))).alias("text"), F.col("length").alias("size"), "modified_at", F.when(~fits, F.lit("file exceeds the size limit")).alias("message")).orderBy("path")
+    return out.select("path", F.when(fits, F.decode("content", "UTF-8")).alias("text"), F.col("length").alias("size"), "modified_at", F.when(~fits, F.lit("file exceeds the size limit")).alias("message")).orderBy("path")
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
