@@ -431,7 +431,7 @@ class Script(Parser):
     def type_parameters(self) -> None:
         if not self.typed or not self.take("<"):
             return
-        while True:
+        def one() -> None:
             self.take("const")
             self.take("in")
             self.ident()
@@ -439,9 +439,8 @@ class Script(Parser):
                 self.type()
             if self.take("="):
                 self.type()
-            if not self.take(","):
-                break
-        self.need(">")
+
+        self.listed(one, ">")
 
     def type_arguments(self) -> None:
         self.need("<")
@@ -813,10 +812,11 @@ class Java(Parser):
             self.listed(self.annotation_value, "}")
         elif self.at("@"):
             self.modifiers()
+        elif self.s[self.i] in self.IDENT and self.ahead("="):
+            self.i += 2
+            self.annotation_value()
         else:
             self.expression()
-            if self.s[self.i - 1] == "=" or self.at("{") or self.at("@"):
-                self.annotation_value()
 
     def type_declaration(self) -> bool:
         if self.take("class") or self.at("record") and self.s[self.i + 1] in self.IDENT and self.s[self.i + 2] in "(<":

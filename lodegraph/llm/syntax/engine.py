@@ -211,9 +211,10 @@ class Parser:
                     break
                 continue
             self.i += 1
-            if op == ">":
-                while self.s[self.i] in self.MORE:
-                    self.i += 1
+            if op == ">":  # shifts come as single signs, so that type arguments can close one by one
+                for _ in range(2):
+                    if self.s[self.i] in self.MORE:
+                        self.i += 1
             self.operand_after(op, p if op in self.RIGHT else p + 1)
         self.depth -= 1
 

@@ -447,7 +447,7 @@ def _rust_kind(token: str) -> str:
     return "s" if token[-1] in "\"#" and '"' in token and len(token) > 1 else classify(token)
 
 
-RUST = Grammar(_RUST_WORDS, _OPERATORS + " .. ..=", _RUST_TOKEN, classify=_rust_kind)
+RUST = Grammar(_RUST_WORDS, _OPERATORS + " $ .. ..=", _RUST_TOKEN, classify=_rust_kind)
 
 
 class Rust(Parser):
