@@ -101,9 +101,9 @@ def bm25(nodes: DataFrame, query_terms: list[str]) -> DataFrame:
     hits = index.select("id", "tf", "length", F.explode(F.filter(meets, lambda x: x.isNotNull())).alias("term"))
     per = hits.groupBy("term", "id").agg(F.sum("tf").alias("f"), F.max("length").alias("length"))
     met = per.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    scored = per.join(F.broadcast(met), "term").join(F.broadcast(totals))  # one row per term, one row of totals
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    scored = per.join(F.broadcast(met), "term")  # one row per term of the query
+    idf = F.greatest(F.lit(1e-6), F.log((totals.select("n_all").scalar() - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / totals.select("mean_length").scalar()))
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 
@@ -182,8 +182,8 @@ def search(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
                 base = fuzzy_names(pool, q.text).select("id", (1.0 / (1 + F.col("distance"))).alias("score"))
         words = [w.lower() for w in raw.split() if len(w) >= 2]
         named = pool.filter(F.lower("name").isin(*words)).select("id") if words else pool.select("id").limit(0)
-        top = base.agg(F.max("score").alias("score"))
-        extra = named.join(base, "id", "left_anti").join(F.broadcast(top)).filter("score is not null").select("id", "score")
+        top = base.agg(F.max("score").alias("score")).first()["score"]
+        extra = named.join(base, "id", "left_anti").select("id", F.lit(top).alias("score")).filter("score is not null")
         base = base.unionByName(extra)
     text = q.text or raw
     rows = base.join(pool, "id").withColumn("score", F.col("score") + kind_bonus(F.col("kind")) + path_relevance(F.col("file_path"), text) + name_bonus(F.col("name"), text))

@@ -54,4 +54,4 @@ def pair_profile(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def heavy_pairs(profile: DataFrame, total: DataFrame, share: float = 0.01) -> DataFrame:
     """The pairs with at least ``share`` of all rows; ``total`` is one row (n_total)."""
-    return profile.join(F.broadcast(total), F.col("n_rows") >= share * F.col("n_total")).select("target", "kind")
+    return profile.filter(F.col("n_rows") >= F.lit(share) * total.select("n_total").scalar()).select("target", "kind")

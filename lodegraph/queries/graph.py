@@ -146,7 +146,8 @@ _PATH = f"""{_CALLEES.replace('seeds', 'a').replace('seed', 'from_id')}, {_SEEDS
 def h9_shortest_path(g: Graph) -> DataFrame:
     """Lengths of the shortest paths from the busiest callers to the most called symbols."""
     links = g.links()
-    pairs = busiest(links, "source").withColumnRenamed("seed", "from_id").join(F.broadcast(busiest(links, "target").withColumnRenamed("seed", "to_id")), F.lit(True))
+    targets = busiest(links, "target").agg(F.collect_list("seed"))  # N_SEEDS ids
+    pairs = busiest(links, "source").select(F.col("seed").alias("from_id"), F.explode(targets.scalar()).alias("to_id"))
     return shortest_paths(links.filter("kind <> 'contains'"), pairs).select("from_id", "to_id", "length")
 
 
@@ -197,10 +198,8 @@ def h15_affected_tests(g: Graph) -> DataFrame:
     """Files affected by what changed on the last day of the index; test files are collected and not expanded."""
     files = g.files()
     last = files.agg(F.max("modified_at").alias("last"))
-    changed = files.join(F.broadcast(last), F.col("modified_at") >= F.col("last") - 86_400_000).select(F.lit("all").alias("group"), "path")
-    # one traversal for all changed files: what reaches from any of them
-    space_links = reversed_links(sparse_dependencies(g))
-    reach = levels_from_set(space_links, changed.select(F.col("path").alias("id")), expand=~is_test_file(F.col("id")))
+    changed = files.filter(F.col("modified_at") >= last.scalar() - 86_400_000)
+    reach = levels_from_set(reversed_links(sparse_dependencies(g)), changed.select(F.col("path").alias("id")), expand=~is_test_file(F.col("id")))
     return reach.select(F.col("id").alias("path"), is_test_file(F.col("id")).alias("is_test"))
 
 

@@ -169,7 +169,7 @@ def t6_site_scope(g: Graph) -> DataFrame:
     """References to resolve again after a day's changes: of changed files, of changed names, at sites that pointed to changed symbols."""
     files = g.files()
     last = files.agg(F.max("modified_at").alias("last"))
-    fresh = files.join(F.broadcast(last), F.col("modified_at") >= F.col("last") - 86_400_000).select(F.col("path").alias("file_path"))
+    fresh = files.filter(F.col("modified_at") >= last.scalar() - 86_400_000).select(F.col("path").alias("file_path"))
     changed = g.nodes("name", "file_path").join(fresh, "file_path", "left_semi")
     refs = g.raw("refs").select("ref_id", "file_path", "reference_name", "from_node_id")
     a = refs.join(changed.select("file_path").distinct(), "file_path", "left_semi")
