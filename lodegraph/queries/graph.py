@@ -283,3 +283,11 @@ def m4_outline(g: Graph) -> DataFrame:
     met = g.links("contains").join(inside, "source", "left_semi").join(nodes.withColumnRenamed("id", "target").drop("kind"), "target")
     members = F.array_sort(F.collect_list(F.struct("start_line", "start_column", "target", "name")))
     return met.groupBy(F.col("source").alias("container_id")).agg(count().alias("n_members"), members.alias("m")).select("container_id", "n_members", F.array_join(F.transform("m", lambda x: x["name"]), ",").alias("outline"))
+
+
+@query(_reach("p as (select distinct source, target from l where kind in ('extends', 'implements', 'overrides', 'decorates'))", f"seeds as (select source as seed from l where kind = 'extends' group by source order by source limit {N_SEEDS})", L, depth=60).replace("select seed, id, min(depth) as depth", "select distinct seed, id").replace("group by 1, 2", ""))
+def h2_reachable(g: Graph) -> DataFrame:
+    """What a depth-first walk without bounds visits from five types: a set, whatever the order."""
+    links = g.links("extends", "implements", "overrides", "decorates")
+    seeds = links.filter("kind = 'extends'").select(F.col("source").alias("seed")).distinct().orderBy("seed").limit(N_SEEDS)
+    return levels(links, seeds).select("seed", "id")

@@ -84,12 +84,16 @@ def r12_function_ref(g: Graph) -> DataFrame:
     return R.by_function_reference(g.raw("refs"), _nodes(g))
 
 
-@query()
+@query(with_(N, "q as (select id as ref_id, regexp_extract(qualified_name, '([^/]+/[^/]+)$', 1) as nm, file_path as a from n where kind = 'file' and qualified_name like '%/%')", "fl as (select *, regexp_extract(file_path, '([^/]+)$', 1) as base, count(*) over (partition by regexp_extract(file_path, '([^/]+)$', 1)) as c from n where kind = 'file')") + f"""
+   select ref_id, target, confidence from (select *, row_number() over (partition by ref_id order by confidence * 1000 + {_NEAR} desc, b, start_line, start_column, target) as rk from (
+   select q.ref_id, fl.id as target, q.a, fl.file_path as b, fl.start_line, fl.start_column, cast(case when fl.file_path = q.nm then 0.95 when ends_with(fl.file_path, '/' || q.nm) then 0.85 when fl.c = 1 then 0.7 end as double) as confidence
+   from q join fl on fl.base = regexp_extract(q.nm, '([^/]+)$', 1) where fl.c <= {R.CEILING}) where confidence is not null) where rk = 1""")
 def r3_file_path(g: Graph) -> DataFrame:
-    """Imports read as references to files: by whole path, path end, or a lone base name."""
-    imports = g.nodes("kind", "name", "file_path", "language", "start_line").filter("kind = 'import'")
-    refs = imports.select(F.col("id").alias("ref_id"), F.concat(F.regexp_replace("name", "^.*/", ""), F.lit(".py")).alias("reference_name"), F.lit("imports").alias("reference_kind"), "file_path", "language", F.col("start_line").alias("line"), F.col("id").alias("from_node_id"))
-    return R.by_file_path(refs, _nodes(g)).select("ref_id", "target", "confidence")
+    """Files named by folder and base name, read as references: whole path, path end, or a lone base name, the nearest first."""
+    nodes = _nodes(g)
+    short = F.regexp_extract("qualified_name", "([^/]+/[^/]+)$", 1)
+    refs = nodes.filter("kind = 'file' and qualified_name like '%/%'").select(F.col("id").alias("ref_id"), short.alias("reference_name"), F.lit("imports").alias("reference_kind"), "file_path", "language", F.col("start_line").alias("line"), F.col("id").alias("from_node_id"))
+    return R.by_file_path(refs, nodes).select("ref_id", "target", "confidence")
 
 
 @query(with_(N, "q as (select id as ref_id, qualified_name as reference_name, file_path from n where kind = 'method' and qualified_name is not null)") + """select ref_id, target, confidence from (select *, row_number() over (partition by ref_id order by confidence * 1000 + same desc, b, start_line, start_column, target) as rk from (

@@ -495,3 +495,60 @@ def w4_wire_names(g: Graph) -> DataFrame:
     rows = g.nodes("kind", "name", "language").filter("kind = 'function' and name is not null").select("id", "language", wire_name(F.col("name")).alias("w")).filter("w <> ''")
     there = rows.filter(F.col("language").isin("typescript", "javascript")).groupBy("w").agg(count().alias("n_callers"))
     return rows.filter("language = 'rust'").join(there, "w").select(F.col("id").alias("command_id"), "n_callers")
+
+
+# --- further joins, orders and sets
+
+
+@query(with_(N) + "select id, name from n where kind in ('function', 'method') and contains(lower(name), 'glyph')")
+def d16_infix_callables(g: Graph) -> DataFrame:
+    """Callables with a word inside their name."""
+    return g.nodes("kind", "name").filter(F.col("kind").isin("function", "method") & F.contains(F.lower("name"), F.lit("glyph"))).select("id", "name")
+
+
+_WORDS = "w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{3,32}')) as word from documents where text is not null and doc_kind = 'commit')"
+_SEGS = f"sg as (select distinct name, unnest({_SEG}) as segment from n where kind in ('function', 'method', 'class'))"
+
+
+@query(with_(N, _WORDS, _SEGS) + "select name, count(*) as n_words from sg join w on w.word = sg.segment group by name having count(*) >= 2")
+def d19_segment_matches(g: Graph) -> DataFrame:
+    """Symbols of which at least two segments are words of commit messages."""
+    words = g.raw("documents").filter("text is not null and doc_kind = 'commit'").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{3,32}', 0)")).alias("segment")).distinct()
+    names = g.nodes("kind", "name").filter(F.col("kind").isin("function", "method", "class") & F.col("name").isNotNull()).select("name").distinct()
+    segs = names.select("name", F.explode(F.array_distinct(segments(F.col("name")))).alias("segment"))
+    return segs.join(words, "segment", "left_semi").groupBy("name").agg(count().alias("n_words")).filter("n_words >= 2")
+
+
+@query(with_(N) + "select distinct name from n where name is not null")
+def e5_names(g: Graph) -> DataFrame:
+    return g.nodes("name").filter("name is not null").select("name").distinct()
+
+
+@query(with_(N, L) + "select file_path, n_callers, n_symbols from (select n.file_path, count(distinct n.id) as n_symbols, coalesce(sum(c.k), 0)::bigint as n_callers from n left join (select target, count(distinct source) as k from l where kind = 'calls' group by 1) c on c.target = n.id where n.kind <> 'file' group by 1)")
+def e12_file_weights(g: Graph) -> DataFrame:
+    """Symbols of every file, and the callers they have."""
+    called = g.links("calls").select("source", "target").distinct().groupBy(F.col("target").alias("id")).agg(count().alias("k"))
+    rows = g.nodes("kind", "file_path").filter("kind <> 'file'").join(called, "id", "left")
+    return rows.groupBy("file_path").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_callers"), count().alias("n_symbols"))
+
+
+@query(with_(N, FILES) + "select id, name, rk as rank from (select n.id, n.name, row_number() over (partition by n.name order by case when f.generated = 1 then 1 else 0 end, n.file_path, n.start_line, n.start_column, n.id) as rk from n left join f on f.path = n.file_path where n.kind in ('function', 'method') and n.name is not null) where rk <= 5")
+def f3_generated_last(g: Graph) -> DataFrame:
+    """Definitions of a name, those in generated files last, five each."""
+    made = g.files().filter("generated = 1").select(F.col("path").alias("file_path"), F.lit(1).alias("made"))
+    rows = g.nodes("kind", "name", "file_path", "start_line", "start_column").filter(F.col("kind").isin("function", "method") & F.col("name").isNotNull()).join(made, "file_path", "left")
+    return strongest(rows, ["name"], [F.coalesce("made", F.lit(0)), "file_path", "start_line", "start_column", "id"], 5).select("id", "name", "rank")
+
+
+@query(with_(N, L) + "select distinct source as id from l where kind = 'calls' and source not in (select source from l where kind = 'references')")
+def g6_callers_without_references(g: Graph) -> DataFrame:
+    links = g.links("calls", "references")
+    calls = links.filter("kind = 'calls'").select(F.col("source").alias("id")).distinct()
+    return calls.join(links.filter("kind = 'references'").select(F.col("source").alias("id")).distinct(), "id", "left_anti")
+
+
+@query(with_(FILES) + "select path from (select path from scans where path is not null union select path from f) where path in (select path from f) or path in (select path from scans where content_hash is not null)")
+def t4_sync_candidates(g: Graph) -> DataFrame:
+    """Paths a sync has to look at: everything scanned with a hash, and everything indexed."""
+    scanned = g.raw("scans").filter("path is not null and content_hash is not null").select("path")
+    return scanned.unionByName(g.files().select("path")).distinct()
