@@ -52,6 +52,6 @@ def pair_profile(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("target", "kind", F.col("left_rows").alias("n_rows"), F.col("n_distinct").alias("n_sources"), F.col("right_rows").alias("n_sightings"), F.col("joined_rows").alias("n_joined"))
 
 
-def heavy_pairs(profile: DataFrame, total: DataFrame, share: float = 0.01) -> DataFrame:
-    """The pairs with at least ``share`` of all rows; ``total`` is one row (n_total)."""
-    return profile.filter(F.col("n_rows") >= F.lit(share) * total.select("n_total").scalar()).select("target", "kind")
+def heavy_pairs(profile: DataFrame, total: DataFrame, parts: int = 100) -> DataFrame:
+    """The pairs with at least one in ``parts`` of all rows, in whole numbers; ``total`` is one row (n_total)."""
+    return profile.filter(F.col("n_rows") * parts >= total.select("n_total").scalar()).select("target", "kind")
