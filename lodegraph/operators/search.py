@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.names import segments, tokens
 from lodegraph.functions.paths import basename, dirname, is_non_production
+from lodegraph.plans.storage import Workspace
 
 # Kinds and their bonus, column weights, BM25 parameters.
 NODE_KINDS = "file module class struct interface trait protocol function method property field variable constant enum enum_member type_alias namespace parameter import export route component union".split()
@@ -174,12 +175,19 @@ def search(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
     if not q.text:
         base = pool.select("id", F.lit(1.0).alias("score"))
     else:
-        found = terms(q.text)
-        base = bm25(nodes, found).join(pool.select("id"), "id", "left_semi") if found else None
-        if base is None or base.isEmpty():
-            base = like_ladder(pool, q.text) if len(q.text) >= 2 else None
-            if base is None or base.isEmpty():
-                base = fuzzy_names(pool, q.text).select("id", (1.0 / (1 + F.col("distance"))).alias("score"))
+        # Each stage is written as it is tried: its row count decides, and the later steps read the few hits.
+        space, found = Workspace(nodes.sparkSession, "search"), terms(q.text)
+        stages = [
+            lambda: bm25(nodes, found).join(pool.select("id"), "id", "left_semi") if found else None,
+            lambda: like_ladder(pool, q.text) if len(q.text) >= 2 else None,
+            lambda: fuzzy_names(pool, q.text).select("id", (1.0 / (1 + F.col("distance"))).alias("score")),
+        ]
+        for k, stage in enumerate(stages):
+            hits = stage()
+            if hits is not None:
+                base, seen = space.write(hits, f"stage={k}")
+                if seen["rows"]:
+                    break
         words = [w.lower() for w in raw.split() if len(w) >= 2]
         named = pool.filter(F.lower("name").isin(*words)).select("id") if words else pool.select("id").limit(0)
         top = base.agg(F.max("score").alias("score")).first()["score"]
