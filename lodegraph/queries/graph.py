@@ -174,6 +174,20 @@ def h12_cyclic_files(g: Graph) -> DataFrame:
     return cyclic(sparse_dependencies(g)).select(F.col("id").alias("path"))
 
 
+_WHOLE = "p as materialized (select path as source, depends_on as target from deps)"
+
+
+def whole_dependencies(g: Graph) -> DataFrame:
+    """The file graph of all kinds except containment."""
+    return file_dependencies(g.links(), g.nodes("file_path")).select(F.col("path").alias("source"), F.col("depends_on").alias("target"))
+
+
+@query(with_(N, L, DEPS, _WHOLE, "r(a, b) as (select source, target from p union select r.a, p.target from r join p on p.source = r.b)", recursive=True) + "select distinct a as path from r where a = b")
+def h12_cyclic_files_all(g: Graph) -> DataFrame:
+    """Files on a cycle of dependencies of any kind: calls, references and imports too."""
+    return cyclic(whole_dependencies(g)).select(F.col("id").alias("path"))
+
+
 def _pagerank_sql(rounds: int = 30) -> str:
     parts = [N, E, "w as (select source, target, count(*) as w from e where kind <> 'contains' group by 1, 2)", "o as (select source, sum(w) as o from w group by 1)", "s as materialized (select w.source, w.target, w.w / o.o as share from w join o using (source))"]
     parts += ["i as materialized (select n.id, o.o is null as dangling, (select count(*) from n) as total from n left join o on o.source = n.id)", "r0 as materialized (select id, 1.0 / total as pr from i)"]
@@ -195,11 +209,22 @@ _AFFECTED = f"""changed as (select path from f where modified_at >= (select max(
 
 @query(with_(N, L, FILES, _SPARSE, _AFFECTED, recursive=True) + f"select path, regexp_matches(path, '{TEST_FILE}') as is_test from r")
 def h15_affected_tests(g: Graph) -> DataFrame:
-    """Files affected by what changed on the last day of the index; test files are collected and not expanded."""
+    """Files affected, over inheritance, overriding and decoration, by what changed on the last day; test files are collected and not expanded."""
+    return affected(g, sparse_dependencies(g))
+
+
+@query(with_(N, L, FILES, DEPS, _WHOLE, _AFFECTED, recursive=True) + f"select path, regexp_matches(path, '{TEST_FILE}') as is_test from r")
+def h15_affected_tests_all(g: Graph) -> DataFrame:
+    """As h15_affected_tests, over dependencies of any kind."""
+    return affected(g, whole_dependencies(g))
+
+
+def affected(g: Graph, dependencies: DataFrame) -> DataFrame:
+    """(path, is_test): the files changed on the last day and what depends on them over (source, target) pairs of files."""
     files = g.files()
     last = files.agg(F.max("modified_at").alias("last"))
     changed = files.filter(F.col("modified_at") >= last.scalar() - 86_400_000)
-    reach = levels_from_set(reversed_links(sparse_dependencies(g)), changed.select(F.col("path").alias("id")), expand=~is_test_file(F.col("id")))
+    reach = levels_from_set(reversed_links(dependencies), changed.select(F.col("path").alias("id")), expand=~is_test_file(F.col("id")))
     return reach.select(F.col("id").alias("path"), is_test_file(F.col("id")).alias("is_test"))
 
 
