@@ -15,6 +15,7 @@ rows give repeated results; other columns pass through untouched.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,14 +95,22 @@ JSON_CODE = re.compile(r"\"(?:status|code|statusCode|error_code|errno)\"\s*:\s*\
 JSON_CONTENT = re.compile(r"\"(?:prompt|text|content|data|items)\"\s*:\s*[\"\[{]")
 SENTENCE_END = re.compile(r"[.;!?。！？]$")
 STOCK_HINT = re.compile(r"\bhere\b|coming|construction|to be |in progress|placeholder|sample|dummy|filler|watch this|blah|foo bar|asdf|qwerty|test\b|testing\b|tbd|todo|example|text|ejemplo|\bici\b|aquí|在此|这里|输入|占位|ここに|einfügen|eingeben|inserisci|content|describe|explain|introduce|summari|intentionally|left (?:blank|empty|for)|reserved|venir|pendiente|folgt|platzhalter|待|准备|準備|敬请")
-#: A text that is one short sentence over and over.
-REPEATED = re.compile(r"\s*(.{3,80}?)(?:\s*\1)+\s*\Z", re.S)
+#: Words of a text that may be one short sentence over and over; sentences without blanks between them are cut at their signs.
+PARTS = re.compile(r"\S+?[.!?,;。！？](?=\S)|\S+")
+#: Most words and characters of such a sentence.
+REPEATED_WORDS, REPEATED_CHARS = 12, 80
+#: A sentence is a notice if there is one for so many characters; longer ones are cut at the frames of a stack trace first.
+NOTICE_CHARS = 400
+FRAME = re.compile(r"\s+(?=at [\w.$/<>]+\(|#\d+ |File \\?\")")
+#: Most words in a JSON notice beside its notices.
+JSON_OTHER_WORDS = 90
+JSON_STRING = re.compile(r"\"((?:[^\"\\]|\\.)*)\"(\s*:)?")
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\1[^\n]*$|^[ \t]*(```+|~~~+)[^\n]*\n[\s\S]*\Z", re.M)
 SPAN = re.compile(r"(`+)(?!`)(?:[^`\n]|(?!\1)`){1,400}?\1")
 QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|(?<!\w)'[^'\n]{1,80}'(?!\w)")
 MARKUP = re.compile(r"<(?!(?:your|my|insert|enter|add|put|the)[-_ ]|%)/?[a-z][^<>\n]{0,200}>")
 CODE_LINE = re.compile(
-    r"[;{}]\s*$|^\s*(?://|/\*|\*|#!|--\s|@\w+\s*$)|^\s*(?:def|class|func|fn|pub|impl|let|const|var|return|if|for|while|import|from|use|package|public|private|static|export|async|end|else|elif|try|except|with|assert|raise|print|echo|export|struct|switch|case)\b.*[({:;=\])]\s*$|"
+    r"[;{}]\s*$|^\s*(?://|/\*|#!|--\s|@\w+\s*$)|^\s*(?:def|class|func|fn|pub|impl|let|const|var|return|if|for|while|import|from|use|package|public|private|static|export|async|end|else|elif|try|except|with|assert|raise|print|echo|export|struct|switch|case)\b.*[({:;=\])]\s*$|"
     r"^\s*[\w.\[\]\"'$]+\s*(?:=|\+=|-=|:=|<<)\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*[-\w]+:\s*\$\{\{|^\s*\$\s"
 )
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -123,8 +132,11 @@ def unfilled_slots(text: str) -> list[str]:
     if not SLOT_HINT.search(text):
         return []
     found = []
+    block = False
     for line in prose(text).split("\n"):
-        if not SLOT_HINT.search(line):
+        bare = line.lstrip()
+        inside, block = block, "*/" not in bare and (block or bare.startswith("/*"))
+        if not SLOT_HINT.search(line) or inside and bare.startswith("*"):
             continue
         slots = [m.group() for m in SLOT.finditer(line)]
         if not slots:
@@ -137,10 +149,23 @@ def unfilled_slots(text: str) -> list[str]:
     return found
 
 
+def repeated(text: str) -> str | None:
+    """The short sentence that the text is made of, over and over, at any number of times."""
+    first = [m.group() for m in islice(PARTS.finditer(text), REPEATED_WORDS + 1)]
+    if first[:1] == [] or first[0] not in first[1:]:
+        return None
+    words = PARTS.findall(text)
+    for n in range(1, min(REPEATED_WORDS, len(words) // 2) + 1):
+        if len(words) % n == 0 and words[n] == words[0] and words[n:] == words[:-n]:
+            unit = " ".join(words[:n])
+            return unit if len(unit) <= REPEATED_CHARS and any(ch.isalpha() for ch in unit) else None
+    return None
+
+
 def filler_paragraphs(text: str) -> list[str]:
     """Paragraphs of dummy Latin, and of nothing but stock phrases (of more than one word; headings are none)."""
-    if len(text) < 2000 and (m := REPEATED.match(text)) and len(m[1].split()) <= 12 and any(ch.isalpha() for ch in m[1]):
-        return [m[1]]
+    if unit := repeated(text):
+        return [unit]
     low = text.lower()
     latin = "ipsum" in low or "lorem" in low or "dolor" in low or "tempus" in low or "amet" in low or "aliquet" in low
     if not latin and not STOCK_HINT.search(low):
@@ -174,30 +199,45 @@ def is_notice(text: str) -> bool:
 
     Sentences that report on such messages (quoting them, or saying who returns or handles them) are content.
     """
-    if JSON_NOTICE.match(text) and len(text) < 600 and (NOTICE.search(text) or JSON_CODE.search(text)) and not JSON_CONTENT.search(text):
+    if JSON_NOTICE.match(text) and not JSON_CONTENT.search(text) and (JSON_CODE.search(text) or NOTICE.search(text)) and _json_words(text) <= JSON_OTHER_WORDS:
         return True
-    # Most texts show in their first lines that they have content; only the others are read to the end.
-    return (len(text) <= 3000 or _opens_with_notice(text[:1500])) and _opens_with_notice(text)
+    # Most texts show in their first lines that they have content. Neither code nor markup is open across a line end but fences,
+    # which run to the end of the part: what is content in the first lines is content of the whole.
+    if len(text) > 3000 and _notices(text[: text.rfind("\n", 0, 1500) + 1]) is None:
+        return False
+    return bool(_notices(text))
+
+
+def _json_words(text: str) -> int:
+    """Words of the strings in a JSON text that are no notices."""
+    said = (x for m in JSON_STRING.finditer(text) if not m[2] for s in re.split(r"\\[nrt]", m[1]) for f in FRAME.split(s) for x in SENTENCES.split(f))
+    return sum(len(WORD.findall(x)) for x in map(str.strip, said) if not NOTICE.search(x))
 
 
-def _opens_with_notice(text: str) -> bool:
+def _is_notice_sentence(s: str) -> bool:
+    return len(s) < NOTICE_CHARS and bool(NOTICE.search(s)) or len(s) >= NOTICE_CHARS and sum(1 for _ in NOTICE.finditer(s)) * NOTICE_CHARS > len(s)
+
+
+def _notices(text: str) -> int | None:
+    """The number of notices; None where there is content before the first, or too much beside them."""
     notices = other = 0
     for line in prose(text).split("\n"):
-        for s in SENTENCES.split(line.replace("&nbsp;", " ")):
-            s = s.strip(" \t#*>_-=|·•\u200b\ufeff")
-            if not s or not any(ch.isalnum() for ch in s):
-                continue
-            words = len(WORD.findall(s))
-            json = JSON_NOTICE.match(s) and not JSON_CONTENT.search(s)
-            if not json and (CHROME.match(s) or words <= 4 and len(s) <= 40 and not SENTENCE_END.search(s) and not NOTICE.search(s)):
-                continue
-            if len(s) < 400 and (json and JSON_CODE.search(s) or NOTICE.search(s) and not REPORTS.search(s) and (json or not QUOTED.search(s))):
-                notices += 1
-                continue
-            other += max(words, 1 + len(s) // 12)
-            if not notices or other > 16:
-                return False
-    return notices > 0
+        for whole in SENTENCES.split(line.replace("&nbsp;", " ")):
+            for s in FRAME.split(whole) if len(whole) >= NOTICE_CHARS else (whole,):
+                s = s.strip(" \t#*>_-=|·•\u200b\ufeff")
+                if not s or not any(ch.isalnum() for ch in s):
+                    continue
+                words = len(WORD.findall(s))
+                json = JSON_NOTICE.match(s) and not JSON_CONTENT.search(s)
+                if not json and (CHROME.match(s) or words <= 4 and len(s) <= 40 and not SENTENCE_END.search(s) and not NOTICE.search(s)):
+                    continue
+                if json and JSON_CODE.search(s) or _is_notice_sentence(s) and not REPORTS.search(s) and (json or not QUOTED.search(s)):
+                    notices += 1
+                    continue
+                other += max(words, 1 + len(s) // 12)
+                if not notices or other > 16:
+                    return None
+    return notices
 
 
 def residue(text: str | None) -> str | None:

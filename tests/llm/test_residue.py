@@ -48,3 +48,32 @@ def test_requests_to_the_author_are_filler(text):
 
 def test_json_error_within_chrome():
     assert residue('Home > Code > x\n\n{"message": "Not Found", "status": 401}\n\nTheme: dark') == "notice"
+
+
+PAGE = "\n\n404 Not Found\n\nThe page you asked for is not available."
+TRACE = "Fatal error: uncaught exception in service" + "".join(f" at org.example.part{i}.Runner.call(Runner.java:{i})" for i in range(40))
+
+
+@pytest.mark.parametrize("n", [10, 580, 620, 5_000])
+def test_notice_after_chrome_of_any_length(n):
+    assert residue("Home\n" * n + PAGE) == "notice"
+    assert residue("Home\n" * n + PAGE + "\n\nThe index keeps one posting list for every word, sorted by place, and merges them in the background once a minute.") is None
+
+
+@pytest.mark.parametrize("n", [2, 60, 200, 20_000])
+def test_a_sentence_repeated_any_number_of_times(n):
+    assert residue("The cat sat here. " * n) == "filler"
+    assert residue("猫坐在这。" * n) == "filler"
+    assert residue("The cat sat here. " * n + "Then it left for the hills and was not seen again.") is None
+
+
+def test_long_traces_and_json_errors():
+    assert residue(TRACE) == "notice"
+    assert residue('{"error": "internal error", "status": 500, "trace": "' + TRACE + '"}') == "notice"
+    assert residue('{"title": "Counters", "description": "' + "The counter keeps its value over many restarts of the node. " * 40 + 'A file not found is logged."}') is None
+
+
+def test_stars_are_code_only_in_comments():
+    assert residue("# Notes\n\n* Author: {{author}}\n") == "slot"
+    assert residue("**Title:** ${title}\n") == "slot"
+    assert residue("/**\n * Author: {{author}}\n */\nint x;\n") is None
