@@ -6,7 +6,7 @@ import ast
 import sys
 import warnings
 
-from lodegraph.llm.syntax.engine import line_of
+from lodegraph.llm.syntax.engine import FRAMES, lines_of
 from lodegraph.llm.syntax.indented import Python
 from lodegraph.llm.syntax.lines import PARSERS as _PARSERS
 
@@ -14,13 +14,12 @@ from lodegraph.llm.syntax.lines import PARSERS as _PARSERS
 PARSERS = _PARSERS | {"py": Python, "pyi": Python}
 #: extension -> language name in reports
 LANGUAGES = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "java": "java", "c": "c", "go": "go", "rs": "rust", "rb": "ruby", "py": "python", "pyi": "python"}
-MAX_LISTED = 50
 
 
 def errors(ext: str, text: str) -> list[tuple[int, str]]:
     """(line, message) of every syntax error, the first cause first; empty for valid, empty and comment-only texts.
 
-    At most ``MAX_LISTED`` errors come with a line of their own; of more, the last says how many follow.
+    A text too deeply nested to be parsed to its end has that as its last error.
     """
     parser = PARSERS[ext]
     text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
@@ -28,15 +27,15 @@ def errors(ext: str, text: str) -> list[tuple[int, str]]:
     kinds = parser.grammar.lex(source)
     if not kinds.strip("\n;"):
         return []
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
+    run = parser(kinds)
     try:
-        found = parser(kinds).file()
+        found = run.file()
     except RecursionError:
-        return []
+        found = [*run.errors, (run.i, "nesting too deep to parse")]
     if found and parser is Python and _valid_python(text):
         return []
-    listed = [(line_of(parser.grammar, source, kinds, at), message) for at, message in found[:MAX_LISTED]]
-    return listed if len(found) <= MAX_LISTED else [*listed[:-1], (listed[-1][0], f"{len(found) - MAX_LISTED + 1} more errors")]
+    return list(zip(lines_of(parser.grammar, source, kinds, [at for at, _ in found]), [message for _, message in found]))
 
 
 def _valid_python(text: str) -> bool:

@@ -451,7 +451,7 @@ class Script(Parser):
 
     def type(self) -> None:
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > self.MAX_DEPTH:
             raise Bad(self.i, "nesting too deep")
         self.take("|") or self.take("&")
         self.type_operand()

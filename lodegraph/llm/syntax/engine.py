@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 
 MEMO_LIMIT = 200_000
+#: Frames that the parsers may stack up; the interpreter keeps those of Python code on the heap.
+FRAMES = 400_000
 _RUNS = re.compile("\n+")
 
 
@@ -86,6 +88,8 @@ class Parser:
     PREFIX: frozenset[str] = frozenset()
     RIGHT: frozenset[str] = frozenset()
     ENDS = ";"
+    #: Deepest nesting that is parsed: far beyond what people or tools write, and within FRAMES.
+    MAX_DEPTH = 10_000
 
     def __init__(self, kinds: str):
         self.s, self.i, self.errors = kinds + "\0\0\0", 0, []
@@ -158,7 +162,7 @@ class Parser:
             start, depth = self.i, self.depth
             self.depth += 1
             try:
-                if self.depth > 200:
+                if self.depth > self.MAX_DEPTH:
                     raise Bad(self.i, "nesting too deep")
                 rule()
                 if self.i == start:
@@ -197,7 +201,7 @@ class Parser:
 
     def expression(self, least: int = 1) -> None:
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > self.MAX_DEPTH:
             self.depth -= 1
             raise Bad(self.i, "nesting too deep")
         self.unary()
@@ -243,9 +247,11 @@ class Parser:
         raise NotImplementedError
 
 
-def line_of(grammar: Grammar, text: str, kinds: str, at: int) -> int:
-    """The line of the token behind kind ``at``; kept line ends count as kinds, dropped ones do not."""
-    position, n = 0, 0
+def lines_of(grammar: Grammar, text: str, kinds: str, places: list[int]) -> list[int]:
+    """The lines of the tokens behind the kinds at ``places``, in one pass; kept line ends count as kinds, dropped ones do not."""
+    lines: dict[int, int] = {}
+    open_ = sorted(set(places), reverse=True)
+    position, n, line, counted = 0, 0, 1, 0
     dropped = grammar.keep_lines
     for m in grammar.token.finditer(text):
         token = m.group(m.lastindex or 0)
@@ -253,7 +259,12 @@ def line_of(grammar: Grammar, text: str, kinds: str, at: int) -> int:
         kind = grammar.kinds[token]
         if dropped and kind == "\n" and not (n < len(kinds) and kinds[n] == "\n"):
             continue
-        if n >= at:
+        if open_ and n >= open_[-1]:
+            line, counted = line + text.count("\n", counted, position), position
+            while open_ and n >= open_[-1]:
+                lines[open_.pop()] = line
+        if not open_:
             break
         n += 1
-    return 1 + text.count("\n", 0, position)
+    last = line + text.count("\n", counted, position)
+    return [lines.get(at, last) for at in places]

@@ -68,6 +68,7 @@ PYTHON = _Lines(_WORDS, _OPS, _TOKEN, classify=_kind)
 class Python(Parser):
     grammar = PYTHON
     ENDS = "\n"
+    MAX_DEPTH = 200  # as the interpreter's own parser
     SIMPLE = re.compile("[^:\n\0\x01\x02]*\n")
     IDENT = PYTHON.chars("i match case type")
     BINARY = PYTHON.binary(["or", "and", "in is not < > == != <= >=", "|", "^", "&", "<< >>", "+ -", "* / % // @", "**"])

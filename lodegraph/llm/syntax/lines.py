@@ -148,7 +148,7 @@ class Go(Parser):
     def type(self) -> None:
         c, k = self.c, self.s[self.i]
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > self.MAX_DEPTH:
             raise Bad(self.i, "nesting too deep")
         if k == "*":
             self.i += 1
@@ -762,7 +762,7 @@ class Rust(Parser):
     def type(self) -> None:
         c, k = self.c, self.s[self.i]
         self.depth += 1
-        if self.depth > 200:
+        if self.depth > self.MAX_DEPTH:
             raise Bad(self.i, "nesting too deep")
         if k == "&" or k == c["&&"]:
             self.i += 1
