@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,21 +56,26 @@ TOOL_NAMES = re.compile(
     r"\.(?:gen|generated|g)\.(?:go|ts|tsx|js|jsx|mjs|rs|py|rb|java|dart|cs|c|h|cpp)$|_(?:gen|generated)\.(?:go|py|rs|rb|ts|js|c|h)$|\.designer\.cs$|[.-]min\.(?:js|mjs|css)$|\.bundle\.m?js$"
 )
 COMMENT_LINE = re.compile(r"^\s*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--|\"\"\"|''')!?\s?(.*?)\s*(?:\*+/|-->)?\s*$")
-LITERALS = re.compile(r"^[\s\[({]*(?:(?:[-+]?(?:0x[\da-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[fFuUlL]*|[rb]?\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')\s*(?:,|=>|:)?\s*)+[\])}\s,;]*$")
+# Atomic: each literal is taken once, so the time is linear in the length of a line.
+LITERALS = re.compile(r"^[\s\[({]*+(?:(?>(?:[-+]?(?:0x[\da-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[fFuUlL]*|[rb]?\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+')\s*+(?:,|=>|:)?\s*+))++[\])}\s,;]*+$")
 HEAD_BYTES, HEAD_LINES = 8192, 60
+LINE = re.compile(r"[^\n]*(?:\n|\Z)")
 
 # Mining: a pattern counts if so many declared files in so many repositories match it, and so large a part of all files that match is declared.
 MIN_DECLARED, MIN_REPOSITORIES, MIN_SHARE = 5, 3, 0.3
 
 
-def _comments(text: str) -> Iterator[str]:
+def _comments(lines: Iterable[str], leading: bool = False) -> Iterator[str]:
+    """What the comments among ``lines`` say; with ``leading`` those before the first line of code only."""
     block = False
-    for line in text[:HEAD_BYTES].split("\n")[:HEAD_LINES]:
+    for line in lines:
         bare = line.strip()
         opens = bare.startswith(("/*", "<!--")) or bare.startswith(('"""', "'''")) and len(bare) > 2
         if block or opens or bare.startswith(("//", "#", "*", "--", ";", "%")):
             if m := COMMENT_LINE.match(line):
                 yield m[1]
+        elif bare and leading:
+            return
         if opens and not bare.endswith(("*/", "-->", '"""', "'''")):
             block = True
         elif block and ("*/" in bare or "-->" in bare or bare.endswith(('"""', "'''"))):
@@ -79,15 +85,15 @@ def _comments(text: str) -> Iterator[str]:
 def banner(text: str) -> bool:
     """Whether a leading comment says that a tool made the file; quoted banners and denials do not."""
     low = text[:HEAD_BYTES]
-    return any(FILE_BANNER.search(said) and not NOT_FILE.search(said) for said in (QUOTED.sub(" ", c).strip() for c in _comments(low)) if said)
+    return any(FILE_BANNER.search(said) and not NOT_FILE.search(said) for said in (QUOTED.sub(" ", c).strip() for c in _comments(low.split("\n")[:HEAD_LINES])) if said)
 
 
 def foreign_head(path: str, text: str) -> str | None:
     """The other project that the licence head names, if any."""
     repository = path.split("/", 1)[0].lower()
-    for n, said in enumerate(_comments(text[:2048])):
-        if n > 12:
-            return None
+    near = islice(_comments(text[:2048].split("\n")[:HEAD_LINES]), 13)
+    whole = _comments((m.group() for m in LINE.finditer(text)), leading=True)
+    for said in chain(near, whole):
         m = OTHER_PROJECT.search(said)
         if m:
             name = next(g for g in m.groups() if g).lower().strip(".-")
@@ -123,10 +129,10 @@ def literal_data(text: str) -> bool:
         bare = line.strip()
         if not bare or bare[0] in "#*" or bare.startswith(("//", "/*", "--")):
             continue
-        if LITERALS.match(bare) if len(bare) < 20_000 else bare[:1] in "\"'[0123456789-":
+        if LITERALS.match(bare):
             rows += len(bare)
             n += 1
-        elif len(bare) > 200 and (m := re.search(r"[\[({=]\s*([\[({]?\s*[-\d\"'][\s\S]*)$", bare)) and LITERALS.match(m[1][:20_000]):
+        elif len(bare) > 200 and (m := re.search(r"[\[({=]\s*([\[({]?\s*[-\d\"'][\s\S]*)$", bare)) and LITERALS.match(m[1]):
             rows += len(m[1])
             other += len(bare) - len(m[1])
             n += 1
@@ -232,7 +238,8 @@ def judged_texts(texts: DataFrame) -> DataFrame:
 
 def mined_patterns(flagged: DataFrame) -> DataFrame:
     """(pattern, n_files, n_declared) of the patterns that equal a declaration; ``flagged`` is (path, declared)."""
-    counted = exploded(flagged).groupBy("pattern").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("declared").cast("int")).alias("n_declared"), F.size(F.collect_set(F.when(F.col("declared"), F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(64))))).alias("n_repositories"))
+    fine = exploded(flagged).groupBy("pattern", F.substring_index("path", "/", 1).alias("repository")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("declared").cast("int")).alias("d"))
+    counted = fine.groupBy("pattern").agg(F.sum("n").alias("n_files"), F.sum("d").alias("n_declared"), F.count(F.when(F.col("d") > 0, 1)).alias("n_repositories"))
     return counted.filter((F.col("n_declared") >= MIN_DECLARED) & (F.col("n_repositories") >= MIN_REPOSITORIES) & (F.col("n_declared") >= MIN_SHARE * F.col("n_files"))).select("pattern", "n_files", "n_declared")
 
 

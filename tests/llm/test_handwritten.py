@@ -1,6 +1,6 @@
 import pytest
 
-from lodegraph.llm.handwritten import attribute_rules, banner, declared, evidence, foreign_head, literal_data, minified, not_handwritten, path_patterns
+from lodegraph.llm.handwritten import attribute_rules, banner, declared, evidence, foreign_head, literal_data, mined_patterns, minified, not_handwritten, path_patterns
 
 MINIFIED = "!function(e,t){" + "".join(f'e["k{i}"]=!1;var v{i}=a=>a.b||{i};' for i in range(40)) + "}(1,2);"
 DATA = "VALUES = [\n" + "    0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x08,\n" * 20 + "]\n"
@@ -52,3 +52,23 @@ def test_not_handwritten(spark):
     assert len(got) == 9
     empty = not_handwritten(spark.createDataFrame([], FILES), spark.createDataFrame([], "path string, text string"))
     assert empty.collect() == []
+
+
+@pytest.mark.parametrize("n", [15_000, 20_000, 25_000, 400_000])
+def test_literals_of_any_length(n):
+    assert literal_data('DATA = "' + "QUJD" * (n // 4) + '"\n')
+    assert literal_data("X = [" + '"ab\\"c", ' * (n // 9) + "]\n")
+    assert literal_data("1" * n + "\n") and not literal_data("1" * n + "x\n") and not literal_data("'a' + call(b) + " * (n // 17) + "c\n")
+
+
+def test_project_named_below_a_long_licence():
+    licence = "".join(f"# Line {i} of a licence that grants and denies this and that to whom it may concern.\n" for i in range(70))
+    assert foreign_head("repo/a.py", licence + "# Copyright (c) 2019 The other7 contributors\n\nx = 1\n") == "other7"
+    assert foreign_head("repo/a.py", licence + "x = 1\n# Copyright (c) 2019 The other7 contributors\n") is None
+
+
+def test_repositories_are_counted_exactly(spark):
+    # any three of 200 names: some share a bucket of 64
+    rows = [(f"r{r}/a{k}.n{i}.py", True) for i in range(60) for r in (i, i + 60, i + 120) for k in range(2)]
+    got = {r.pattern: (r.n_files, r.n_declared) for r in mined_patterns(spark.createDataFrame(rows, "path string, declared boolean")).collect()}
+    assert {f"*.n{i}.py" for i in range(60)} <= set(got) and got["*.n0.py"] == (6, 6)
