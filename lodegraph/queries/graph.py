@@ -39,9 +39,15 @@ _CONTAINERS = ", ".join(f"'{k}'" for k in CONTAINERS)
 #: Seeds of traversals: the most called symbols, ties by id.
 N_SEEDS = 5
 _SEEDS = f"seeds as (select target as seed from l where kind = 'calls' group by target order by count(*) desc, target limit {N_SEEDS})"
+#: Every symbol as a seed.
+_ALL = "seeds as (select id as seed from n)"
 _CALLEES = f"seeds as (select source as seed from l where kind = 'calls' group by source order by count(*) desc, source limit {N_SEEDS})"
 
 
+def symbols(g: Graph) -> DataFrame:
+    return g.nodes("kind").select(F.col("id").alias("seed"))
+
+
 def busiest(links: DataFrame, end: str) -> DataFrame:
     calls = links.filter("kind = 'calls'").groupBy(F.col(end).alias("seed")).agg(count().alias("n"))
     return calls.orderBy(F.desc("n"), "seed").limit(N_SEEDS).select("seed")
@@ -71,6 +77,14 @@ def h3_callers_depth2(g: Graph) -> DataFrame:
     return levels(reversed_links(links), busiest(links, "target"), 2).select("seed", "id", "depth")
 
 
+@query(with_(N, L, _ALL, _CALL) + """select seed, id, min(depth) as depth from (
+  select seed, seed as id, 0 as depth from seeds union all select seed, c.source, 1 from seeds join c on c.target = seed
+  union all select seed, d.source, 2 from seeds join c on c.target = seed join c d on d.target = c.source) group by 1, 2""")
+def h3_callers_depth2_all(g: Graph) -> DataFrame:
+    """As h3_callers_depth2, for every symbol."""
+    return levels(reversed_links(g.links("calls", "references", "imports")), symbols(g), 2).select("seed", "id", "depth")
+
+
 @query(with_(L, _SEEDS, _CALL) + "select distinct seed, role, id from (select seed, 'caller' as role, c.source as id from seeds join c on c.target = seed union all select seed, 'callee', c.target from seeds join c on c.source = seed union all select seed, 'focal', seed from seeds)")
 def h5_call_graph(g: Graph) -> DataFrame:
     links = g.links("calls", "references", "imports")
@@ -81,6 +95,15 @@ def h5_call_graph(g: Graph) -> DataFrame:
     return back.unionByName(ahead).unionByName(seeds.select("seed", F.lit("focal").alias("role"), F.col("seed").alias("id")))
 
 
+@query(with_(N, L, _ALL, _CALL) + "select distinct seed, role, id from (select seed, 'caller' as role, c.source as id from seeds join c on c.target = seed union all select seed, 'callee', c.target from seeds join c on c.source = seed union all select seed, 'focal', seed from seeds)")
+def h5_call_graph_all(g: Graph) -> DataFrame:
+    """As h5_call_graph, for every symbol: each is focal, and each call is seen from both ends."""
+    pairs = g.links("calls", "references", "imports").select("source", "target").distinct()
+    back = pairs.select(F.col("target").alias("seed"), F.lit("caller").alias("role"), F.col("source").alias("id"))
+    ahead = pairs.select(F.col("source").alias("seed"), F.lit("callee").alias("role"), F.col("target").alias("id"))
+    return back.unionByName(ahead).unionByName(symbols(g).select("seed", F.lit("focal").alias("role"), F.col("seed").alias("id")))
+
+
 @query(with_(E) + "select target as node_id, kind, count(*) as n_usages from e group by 1, 2")
 def h7_usages(g: Graph) -> DataFrame:
     return g.edges().groupBy(F.col("target").alias("node_id"), "kind").agg(count().alias("n_usages"))
@@ -242,7 +265,19 @@ def levels_from_set(links: DataFrame, starts: DataFrame, expand=None) -> DataFra
 def h16_blast_radius(g: Graph) -> DataFrame:
     """Direct callers of the most called symbols, in tests and elsewhere."""
     links = g.links()
-    near = links.filter(F.col("kind").isin("calls", "references", "imports")).join(busiest(links, "target").withColumnRenamed("seed", "target"), "target", "left_semi").select(F.col("target").alias("seed"), F.col("source").alias("id")).distinct()
+    return blast_radius(g, links.filter(F.col("kind").isin("calls", "references", "imports")).join(busiest(links, "target").withColumnRenamed("seed", "target"), "target", "left_semi"))
+
+
+@query(with_(N, L, _ALL) + f"""select seed, count(*) as n_callers, count(*) filter (where regexp_matches(n.file_path, '{TEST_FILE}')) as n_test_callers, count(distinct n.file_path) as n_files
+  from (select distinct seed, source from seeds join l on l.target = seed where kind in ('calls', 'references', 'imports')) c join n on n.id = c.source group by seed""")
+def h16_blast_radius_all(g: Graph) -> DataFrame:
+    """As h16_blast_radius, for every symbol with a caller."""
+    return blast_radius(g, g.links("calls", "references", "imports"))
+
+
+def blast_radius(g: Graph, links: DataFrame) -> DataFrame:
+    """Callers, callers in tests and files with callers of every target of ``links``."""
+    near = links.select(F.col("target").alias("seed"), F.col("source").alias("id")).distinct()
     met = near.join(g.nodes("file_path"), "id").withColumn("is_test", is_test_file(F.col("file_path")))
     fine = met.groupBy("seed", "file_path").agg(count().alias("n"), F.count(F.when(F.col("is_test"), 1)).alias("t"))
     return fine.groupBy("seed").agg(F.sum("n").alias("n_callers"), F.sum("t").alias("n_test_callers"), F.count("file_path").alias("n_files"))
@@ -290,8 +325,20 @@ def h21_ambient_files(g: Graph) -> DataFrame:
     union all select seed, target, 1 from seeds join l on l.source = seed and l.kind in ('calls', 'references', 'imports', 'contains')) c join n on n.id = c.id group by 1, 2)) where rk <= 10""")
 def m5_explore_files(g: Graph) -> DataFrame:
     """Files to read around the most called symbols: the symbol's own, then callers', then callees' and members'."""
+    return explore_files(g, busiest(g.links(), "target"))
+
+
+@query(with_(N, L, _ALL) + """select seed, file_path, tier, n_symbols, rk as rank from (select *, row_number() over (partition by seed order by tier desc, n_symbols desc, file_path) as rk from (
+  select seed, n.file_path, max(tier) as tier, count(distinct n.id) as n_symbols from (
+    select seed, seed as id, 3 as tier from seeds union all select seed, source, 2 from seeds join l on l.target = seed and l.kind in ('calls', 'references', 'imports')
+    union all select seed, target, 1 from seeds join l on l.source = seed and l.kind in ('calls', 'references', 'imports', 'contains')) c join n on n.id = c.id group by 1, 2)) where rk <= 10""")
+def m5_explore_files_all(g: Graph) -> DataFrame:
+    """As m5_explore_files, for every symbol."""
+    return explore_files(g, symbols(g))
+
+
+def explore_files(g: Graph, seeds: DataFrame) -> DataFrame:
     links = g.links()
-    seeds = busiest(links, "target")
     call = F.col("kind").isin("calls", "references", "imports")
     back = links.filter(call).join(seeds.withColumnRenamed("seed", "target"), "target", "left_semi").select(F.col("target").alias("seed"), F.col("source").alias("id"), F.lit(2).alias("tier"))
     ahead = links.filter(call | (F.col("kind") == "contains")).join(seeds.withColumnRenamed("seed", "source"), "source", "left_semi").select(F.col("source").alias("seed"), F.col("target").alias("id"), F.lit(1).alias("tier"))

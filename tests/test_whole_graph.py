@@ -29,3 +29,15 @@ def test_file_graph_of_all_kinds(spark, tmp_path):
     want = set(bfs(back, "f0.py"))
     got = {r.path: r.is_test for r in queries["h15_affected_tests_all"](spark, str(tmp_path)).collect()}
     assert got == {p: p == "f5_test.py" for p in want} and "f5_test.py" in want
+
+
+def test_questions_for_every_symbol(spark, tmp_path):
+    # a chain of twelve: far more than five symbols are called
+    edges = [(f"n{i}", f"n{i + 1}", "calls") for i in range(11)]
+    where = tables(spark, str(tmp_path), edges)
+    ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    back = [(b, a) for a, b, _ in edges]
+    assert {(r.seed, r.id): r.depth for r in ask("h3_callers_depth2_all")} == {(s, i): d for s in where for i, d in bfs(back, s, 2).items()}
+    assert {(r.seed, r.role, r.id) for r in ask("h5_call_graph_all")} == {(s, "focal", s) for s in where} | {(b, "caller", a) for a, b, _ in edges} | {(a, "callee", b) for a, b, _ in edges}
+    assert {r.seed: (r.n_callers, r.n_test_callers, r.n_files) for r in ask("h16_blast_radius_all")} == {b: (1, int(where[a] == "f5_test.py"), 1) for a, b, _ in edges}
+    assert {(r.seed, r.file_path) for r in ask("m5_explore_files_all")} == {(s, where[s]) for s in where} | {(s, where[x]) for a, b, _ in edges for s, x in ((a, b), (b, a))}
