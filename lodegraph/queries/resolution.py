@@ -109,7 +109,7 @@ def r4_qualified(g: Graph) -> DataFrame:
 
 @query()
 def r18_resolve_all(g: Graph) -> DataFrame:
-    """The whole cascade."""
+    """The five strategies that are built, in turn: function reference, file path, qualified, exact and fuzzy name; import and method-call strategies are not among them."""
     return R.resolve(g.raw("refs"), _nodes(g))
 
 
