@@ -1,8 +1,9 @@
 """Intermediate tables in the folder all executors share, and the size rule for broadcasts.
 
 Iterative operators cut their lineage by writing a table and reading it back: a lost executor then
-costs nothing but a re-read.  The folder is ``spark.checkpoint.dir`` of the session; only where
-that is unset (local tests) a temporary folder is made.
+costs nothing but a re-read.  The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset, a
+session on one machine (``local`` master) gets a temporary folder; on a cluster it is an error, because
+executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="lodegraph-")
     return _local_root
