@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from lodegraph.operators.incremental import VersionedState, due_runs, replay
+from lodegraph.operators import incremental
+from lodegraph.operators.incremental import Overtaken, VersionedState, due_runs, replay
 
 SCANS = "scan_id bigint, run_id int, path string, content_hash string, size bigint, modified_at bigint, observed_at bigint, key string, case string"
 FILES = "path string, content_hash string, indexed_at bigint, hash string, seen_at int"
@@ -72,5 +73,32 @@ def test_failure_before_the_swap_repeats_and_a_repeated_run_does_nothing(spark,
 
 def test_due_runs(spark):
     scans = spark.createDataFrame([(r,) for r in range(1, 6)], "run_id int")
-    got = {r.run_id: r.due_run for r in due_runs(scans, [(1, "ok"), (2, "failed"), (3, "ok"), (4, "killed"), (5, "running")]).collect()}
-    assert got == {1: 1, 2: 3, 3: 3}
+    log = spark.createDataFrame([(1, "ok"), (3, "ok"), (4, "killed"), (5, "running"), (None, "ok")], "run_id int, status string")
+    got = {r.run_id: r.due_run for r in due_runs(scans, log).collect()}
+    assert got == {1: 1, 2: 3, 3: 3}  # run 2 is in no log: its rows fall to the next successful run
+
+
+def test_two_runs_at_once_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    state = VersionedState(spark, f"file://{tmp_path}/state")
+    record = lambda *rows: spark.createDataFrame([(k, h, t, 1) for k, h, t in rows], "key string, hash string, seen_at bigint, ord bigint")
+    state.process(1, record(("a", "x", 1)))
+    stale = state._entry()
+    state.process(2, record(("b", "y", 2)))
+    with pytest.raises(Overtaken):
+        state._swap(stale | {"version": stale["version"] + 1})
+    assert state.current() == (1, 2)
+    for run in range(3, 9):
+        state.process(run, record(("a", f"x{run}", run), ("b", "y", run)))
+    assert {(r.key, r.hash, r.seen_at) for r in state.read().collect()} == {("a", "x8", 8), ("b", "y", 8)}
+    assert len(state._entry()["state"]) <= 3
+    assert sorted((r.run, r.key, r.case) for r in state.outputs().collect()) == [(1, "a", "new"), (2, "b", "new"), *[(r, "a", "changed") for r in range(3, 9)]]
+
+
+def test_sources_count_their_own_runs(spark, tmp_path):
+    state = VersionedState(spark, f"file://{tmp_path}/state")
+    rows = spark.createDataFrame([("a", "x", 1, 1)], "key string, hash string, seen_at bigint, ord bigint")
+    assert [r.case for r in state.process(5, rows, source="s1").collect()] == ["new"]
+    assert state.process(0, rows, source="s2").collect() == []  # a stream that lost its checkpoint starts at 0 and repeats
+    more = spark.createDataFrame([("a", "y", 2, 1)], "key string, hash string, seen_at bigint, ord bigint")
+    assert [r.case for r in state.process(1, more, source="s2").collect()] == ["changed"]
