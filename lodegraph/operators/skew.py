@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.plans.storage import Workspace
+
 
 def grouped_counts(df: DataFrame, by: list[str], distinct_of: str) -> DataFrame:
     """(by..., n_rows, n_distinct): rows and distinct non-null values per group, in two aggregation levels."""
@@ -52,6 +54,10 @@ def pair_profile(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("target", "kind", F.col("left_rows").alias("n_rows"), F.col("n_distinct").alias("n_sources"), F.col("right_rows").alias("n_sightings"), F.col("joined_rows").alias("n_joined"))
 
 
-def heavy_pairs(profile: DataFrame, total: DataFrame, parts: int = 100) -> DataFrame:
-    """The pairs with at least one in ``parts`` of all rows, in whole numbers; ``total`` is one row (n_total)."""
-    return profile.filter(F.col("n_rows") * parts >= total.select("n_total").scalar()).select("target", "kind")
+def heavy_pairs(edges: DataFrame, nodes: DataFrame, parts: int = 100) -> DataFrame:
+    """(target, kind) of the pairs with at least one in ``parts`` of all rows of ``edges``, compared in whole numbers.
+
+    The joined profile is written once; the total of its rows is observed during that write, so neither input is read twice.
+    """
+    profile, seen = Workspace(edges.sparkSession, "skew").write(pair_profile(edges, nodes), "profile", metrics={"total": F.coalesce(F.sum("n_rows"), F.lit(0))})
+    return profile.filter(F.col("n_rows") * parts >= seen["total"]).select("target", "kind")

@@ -38,8 +38,7 @@ def p3_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    edges = table(spark, folder, "edges")
-    return heavy_pairs(pair_profile(edges, table(spark, folder, "nodes")), edges.agg(F.count(F.lit(1)).alias("n_total")))
+    return heavy_pairs(table(spark, folder, "edges"), table(spark, folder, "nodes"))
 
 
 def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
