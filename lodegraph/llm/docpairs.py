@@ -1,14 +1,16 @@
 """Functions paired with their documentation (code-description pairs).
 
 Files are cut into islands (documentation, annotations, signature, balanced body) once each; symbols of the
-index meet them by (path, name), the nearest island to the indexed line winning.  The documentation of the
-newest sighting is reduced to what it tells; pairs without anything told are dropped.
+index meet them by (path, name), the nearest island to the indexed line winning.  An island gives the pair its
+code, the signature where the index has none (its parameter names tell nothing when they are restated), and its
+documentation where the index has none that tells anything.  Documentation is reduced to what it tells; functions
+of which neither the newest sighting nor the source tells anything are dropped.
 
 Scale: symbols shrink to one row per id before their shuffle (``max_by`` with map-side partials); texts are
 parsed where they are read, and only the islands travel.  A file with very many functions is one array value
 per (path, name), never per path.
 
-Nulls and edges: rows with a null id are ignored; a null or empty docstring drops the row; a null name or path
+Nulls and edges: rows with a null id are ignored; a null or empty docstring counts as none; a null name or path
 keeps the row with null code, as do symbols without an island (files that do not parse, unknown languages,
 missing texts).  Ties in updated_at go to the greater row as text.  Repeated rows count once.  Empty tables give
 an empty result; other columns are not read.
@@ -47,26 +49,43 @@ def file_islands(texts: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def told(docstring: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Series:
-    return pd.Series([telling(d, n, s) if d else "" for d, n, s in zip(docstring, name, signature)], dtype=object)
+def told(docstring: pd.Series, name: pd.Series, signature: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([telling(d, n, s, g) if d else "" for d, n, s, g in zip(docstring, name, signature, language)], dtype=object)
 
 
-def documented_functions(nodes: DataFrame) -> DataFrame:
-    """The newest sighting of every function or method whose documentation tells something, with ``description``."""
+def functions(nodes: DataFrame) -> DataFrame:
+    """The newest sighting of every function and method."""
     latest = newest(nodes, "id", [F.col("updated_at")], ["kind", "name", "file_path", "language", "start_line", "end_line", "docstring", "signature"])
-    functions = latest.filter(F.col("kind").isin("function", "method") & (F.length(F.trim("docstring")) > 0))
-    return functions.withColumn("description", told("docstring", "name", "signature")).filter("description <> ''")
+    return latest.filter(F.col("kind").isin("function", "method"))
+
+
+def with_islands(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """``symbols`` with ``island``, the nearest function of their name in their file, and the signature that holds."""
+    met = symbols.join(file_islands(texts).withColumnRenamed("name", "_name"), (F.col("file_path") == F.col("path")) & (F.col("name") == F.col("_name")), "left")
+    fields = lambda i: F.struct(F.coalesce(F.abs(i["start_line"] - F.col("start_line")), F.lit(0)).alias("far"), i["start_line"].alias("at"), i["end_line"].alias("end"), i["signature"].alias("signature"), i["doc"].alias("doc"), i["code"].alias("code"))
+    met = met.withColumn("island", F.array_min(F.transform("found", fields))).drop("found", "path", "_name")
+    return met.withColumn("signature", F.coalesce("signature", "island.signature"))
+
+
+def indexed_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The functions whose indexed documentation tells something, with ``description`` and ``island``."""
+    documented = functions(nodes).filter(F.length(F.trim("docstring")) > 0)
+    return with_islands(documented, texts).withColumn("description", told("docstring", "name", "signature", "language")).filter("description <> ''")
 
 
 def code_description_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, kind, name, language, path, start_line, end_line, signature, description, docstring, code, same_span)."""
-    functions = documented_functions(nodes)
-    met = functions.join(file_islands(texts).withColumnRenamed("name", "_name"), (F.col("file_path") == F.col("path")) & (F.col("name") == F.col("_name")), "left")
-    nearest = F.array_min(F.transform("found", lambda i: F.struct(F.abs(i["start_line"] - F.col("start_line")).alias("far"), i["start_line"].alias("at"), i["end_line"].alias("end"), i["signature"].alias("signature"), i["code"].alias("code"))))
-    met = met.withColumn("_i", nearest)
+    """(id, kind, name, language, path, start_line, end_line, signature, description, documented_by, docstring, code, same_span).
+
+    ``documented_by`` is 'index' where the newest docstring tells something, else 'source'.
+    """
+    met = with_islands(functions(nodes), texts)
+    met = met.withColumn("_index", told("docstring", "name", "signature", "language")).withColumn("_source", F.when(F.col("_index") == "", told("island.doc", "name", "signature", "language")).otherwise(""))
+    met = met.filter("_index <> '' or _source <> ''")
+    by_index = F.col("_index") != ""
     return met.select(
         "id", "kind", "name", "language", "file_path",
-        F.coalesce("_i.at", "start_line").alias("start_line"), F.coalesce("_i.end", "end_line").alias("end_line"),
-        F.coalesce("signature", "_i.signature").alias("signature"), "description", "docstring", F.col("_i.code").alias("code"),
-        (F.col("_i.at").eqNullSafe(F.col("start_line")) & F.col("_i.end").eqNullSafe(F.col("end_line"))).alias("same_span"),
+        F.coalesce("island.at", "start_line").alias("start_line"), F.coalesce("island.end", "end_line").alias("end_line"),
+        "signature", F.when(by_index, F.col("_index")).otherwise(F.col("_source")).alias("description"), F.when(by_index, "index").otherwise("source").alias("documented_by"),
+        F.when(by_index, F.col("docstring")).otherwise(F.col("island.doc")).alias("docstring"), F.col("island.code").alias("code"),
+        (F.col("island.at").eqNullSafe(F.col("start_line")) & F.col("island.end").eqNullSafe(F.col("end_line"))).alias("same_span"),
     )

@@ -1,14 +1,17 @@
 """What a documentation comment tells: comment markers, tags, tool marks, placeholders, legal text, code and
 restatements of the name are taken off; the content words that stay are the description.
 
-A docstring is telling if at least two content words stay (or four characters of a script written without
-spaces) that are neither in the function's name nor among the identifiers of its signature.
+A docstring is telling if at least one content word stays (or four characters of a script written without
+spaces) that is neither in the function's name nor in a parameter's.  What a return or throws tag says counts
+likewise, its types aside; what is said of a single parameter does not.
 """
 
 from __future__ import annotations
 
 import re
 
+from lodegraph.llm.islands import parameters
+
 # Words and phrases that mark what a comment says to tools, to readers or to nobody.
 TOOL_MARK = re.compile(
     r"^(?:noqa|no ?lint|nolint\w*|pylint|eslint|tslint|jshint|jslint|stylelint|rubocop|swiftlint|phpcs|flake8|mypy|pyright|type:\s*ignore|clang-format|clang-tidy|prettier-|istanbul|c8 ignore|v8 ignore|"
@@ -22,8 +25,11 @@ LEGAL = re.compile(
     re.I,
 )
 REMINDER = re.compile(r"^\W*(?:todo|fixme|xxx|hack|tbd|tba|wip|bug|optimi[sz]e|review)\b(?:\s*\([^)]*\))?\s*:?", re.I)
-PARAM_TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|tparam|typeparam|return|returns|retval|result|throws?|exception|raises?|yields?|type|rtype|template)\b|:(?:param|arg|argument|type|return|returns|rtype|raises?|yields?|key|keyword)\b[^:]*:)\s*(?:\{[^}]*\}\s*)?(.*)$", re.I)
-PARAM_HEAD = re.compile(r"^(?:args?|arguments?|params?|parameters?|returns?|return value|raises?|throws|yields?|keyword args?|parameter|rückgabe|paramètres|parámetros|参数|返回)\s*:\s*(.*)$", re.I)
+PARAM_TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|tparam|typeparam|type|rtype|template)\b|:(?:param|arg|argument|type|rtype|key|keyword)\b[^:]*:)", re.I)
+RESULT_TAG = re.compile(r"^(?:[@\\](?:return|returns|retval|result|yields?)\b|:(?:return|returns|yields?)\b[^:]*:)\s*(?:\{[^}]*\}\s*)?", re.I)
+THROWS_TAG = re.compile(r"^(?:[@\\](?:throws?|exception|raises?)\b|:raises?\b)\s*(?:\{[^}]*\}\s*)?[\w.]*:?\s*", re.I)
+PARAM_HEAD = re.compile(r"^(?:args?|arguments?|params?|parameters?|keyword args?|parameter|paramètres|parámetros|参数)\s*:\s*(.*)$", re.I)
+RESULT_HEAD = re.compile(r"^(?:returns?|return value|raises?|throws|yields?|rückgabe|返回)\s*:\s*", re.I)
 TELLING_TAG = re.compile(r"^[@\\](?:brief|desc|description|summary|remarks?|note|details|doc|overview|par|short|abstract)\b\s*", re.I)
 OTHER_TAG = re.compile(r"^[@\\]\w[\w.-]*")
 FIELD_TAG = re.compile(r"^:\w[^:]*:")
@@ -51,7 +57,8 @@ CODE = re.compile(
 EMPTY_WORDS = frozenset(
     "a an the this that these those of to for and or is are was be been it its in on at by with from as into method methods function functions func fn routine procedure helper helpers class object code "
     "does do did will can may api internal private public protected static deprecated override inherit inherits inheritdoc see also note returns return param params parameter parameters argument arguments arg args value "
-    "todo fixme description docs doc documentation summary stub generated auto here missing add write".split()
+    "todo fixme description docs doc documentation summary stub generated auto here missing add write above below result results output nothing void true false null none nil "
+    "overridden overrides constructor destructor getter setter accessor mutator util utils utility misc stuff thing things something implementation implements self".split()
 )
 MARKERS = re.compile(r"^\s*(?:/\*+!?|\*+/|//+!?|#+!?(?!\w)|--+|;+|\*+(?!\w)|\"\"\"|'''|=begin|=end|<!--|%+)?\s*")
 ENDINGS = re.compile(r"\s*(?:\*+/|\"\"\"|'''|-->)\s*$")
@@ -76,21 +83,34 @@ def name_stems(*names: str | None) -> set[str]:
 
 def description(docstring: str | None) -> str:
     """The sentences of ``docstring`` that are neither marks, placeholders, code nor legal text; '' if none."""
-    if not docstring:
-        return ""
+    return " ".join(x for part in _told(docstring) for x in part).strip()
+
+
+def _told(docstring: str | None) -> tuple[list[str], list[str]]:
+    """The sentences about the function, and those of its return and throws tags."""
     kept: list[str] = []
-    in_params = in_list = False
+    results: list[str] = []
+    if not docstring:
+        return kept, results
+    in_params = in_list = in_results = False
     for raw in docstring.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = ENDINGS.sub("", MARKERS.sub("", raw))
         line = TAGS.sub(" ", line).strip()
         if not line:
-            in_params = in_list = False
+            in_params = in_list = in_results = False
             continue
         if not any(ch.isalpha() for ch in line):
             continue
         if PARAM_HEAD.match(line) or PARAM_TAG.match(line):
-            in_params = bool(PARAM_HEAD.match(line))
+            in_params, in_results = bool(PARAM_HEAD.match(line)), False
             continue
+        if m := RESULT_TAG.match(line) or THROWS_TAG.match(line) or RESULT_HEAD.match(line):
+            in_params, in_results = False, True
+            line = line[m.end() :]
+            if not any(ch.isalpha() for ch in line):
+                continue
+        elif in_results and line[0] in "@\\:":
+            in_results = False
         if in_params:
             if re.match(r"^[\w.*$]+(?:\s*\([^)]*\))?\s*:", line) or raw[:1] in " \t":
                 continue
@@ -110,31 +130,34 @@ def description(docstring: str | None) -> str:
                 in_list = True
                 continue
             if part and not PLACEHOLDER.match(part) and not CODE.match(part):
-                kept.append(part)
+                (results if in_results else kept).append(part)
                 said = True
         in_list = in_list and not said
-    return " ".join(kept).strip()
+    return kept, results
 
 
-def telling(docstring: str | None, name: str | None, signature: str | None) -> str:
-    """The description where it says something beyond the names, else ''."""
-    text = description(docstring)
-    if not text:
-        return ""
+def _new_words(text: str, name: str | None, known: set[str]) -> bool:
     if len(UNSPACED.findall(text)) >= 4:
-        return text
-    names = name_stems(name, *re.findall(r"[A-Za-z_]\w*", signature or "")) | {stem(w.lower()) for n in (name,) if n for w in re.findall(r"[A-Za-z]+", n)}
-    new = set()
+        return True
     for word in WORD.findall(text):
         low = word.lower()
-        if low in EMPTY_WORDS:
-            continue
-        if name and low == name.lower():
+        if low in EMPTY_WORDS or name and low == name.lower() or stem(low) in known:
             continue
         parts = [p.lower() for p in HUMP.findall(word)]
-        if all(stem(p) in names or p in EMPTY_WORDS for p in parts) or stem(low) in names:
-            continue
-        new.add(low)
-        if len(new) >= 2:
-            return text
+        if not all(stem(p) in known or p in EMPTY_WORDS for p in parts):
+            return True
+    return False
+
+
+def telling(docstring: str | None, name: str | None, signature: str | None, language: str | None = None) -> str:
+    """The description where it says something beyond the function's and its parameters' names, else ''."""
+    kept, results = _told(docstring)
+    if not kept and not results:
+        return ""
+    names = name_stems(name, *parameters(signature, name, language)) | {stem(w.lower()) for n in (name,) if n for w in re.findall(r"[A-Za-z]+", n)}
+    if kept and _new_words(" ".join(kept), name, names):
+        return " ".join([*kept, *results])
+    types = name_stems(*re.findall(r"[A-Za-z_]\w*", signature or ""))
+    if results and _new_words(" ".join(results), name, names | types):
+        return " ".join([*kept, *results])
     return ""

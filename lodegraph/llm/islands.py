@@ -40,7 +40,8 @@ _FAMILY = {
     **dict.fromkeys(("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts"), ("tick", "js")),
 }
 _BRACED = {pair: re.compile(_WATER[pair[0]] + "|(?P<head>" + _HEADS[pair[1]] + ")", re.M) for pair in set(_FAMILY.values())}
-_ANNOTATION = re.compile(r"(?:\s*(?:@[\w.]+(?:\([^()\n]*\))?|#!?\[[^\]\n]*\]))*\s*\Z")
+# Annotations between documentation and head; possessive, so that one pass decides however many there are.
+_ANNOTATION = re.compile(r"(?:\s*+(?:@[\w.]++(?:\s*+\((?:[^()]|\([^()]*\))*+\))?+|#!?\[[^\]\n]*+\]))*+\s*+\Z")
 _PY = re.compile(r"^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)")
 _RB = re.compile(r"^(?P<indent>[ \t]*)def[ \t]+(?:self\.)?(?P<name>[\w]+[?!=]?)")
 _PY_LONG = re.compile(r"(?P<long>[rbuRBUfF]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)))|#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?")
@@ -52,6 +53,54 @@ def language(path: str | None) -> str:
     return path.rpartition("/")[2].rpartition(".")[2].lower() if path and "." in path.rpartition("/")[2] else ""
 
 
+_OPENING, _CLOSING = "([{<", ")]}>"
+_NAME = re.compile(r"[^\W\d]\w*|\$\w+")
+#: Languages that write the parameter's name after its type.
+_NAME_LAST = frozenset("java c cpp cc h hpp csharp cs objc cuda dart".split())
+
+
+def _groups(text: str, start: int) -> list[str]:
+    """The top-level parts between commas of the parenthesis that opens at ``start``."""
+    parts, depth, begin = [], 0, start + 1
+    for i in range(start, len(text)):
+        ch = text[i]
+        if ch in _OPENING:
+            depth += 1
+        elif ch in _CLOSING and not (ch == ">" and text[i - 1] in "-="):
+            depth -= 1
+            if not depth:
+                return [*parts, text[begin:i]]
+        elif ch == "," and depth == 1:
+            parts.append(text[begin:i])
+            begin = i + 1
+    return [*parts, text[begin:]]
+
+
+def parameters(signature: str | None, name: str | None, language_name: str | None) -> list[str]:
+    """The parameter names in a signature: the parenthesis after the function's name, else the first one.
+
+    Types, defaults, annotations and return types are skipped water; of a destructured parameter all names count.
+    """
+    if not signature or "(" not in signature:
+        return []
+    head = re.search(rf"\b{re.escape(name)}\s*(?:<[^()]*>|\[[^()]*\])?\s*\(", signature) if name else None
+    found = []
+    for part in _groups(signature, head.end() - 1 if head else signature.index("(")):
+        part = re.sub(r"@\w+(?:\([^()]*\))?", " ", part).strip()
+        if part.startswith(("{", "[")):
+            found += _NAME.findall(part.split("}")[0].split("]")[0])
+            continue
+        part = re.split(r"(?<![=<>!])=(?![=>])", part)[0]
+        if ":" in part:
+            names = _NAME.findall(part.split(":")[0])[-1:]
+        elif language_name in _NAME_LAST:
+            names = _NAME.findall(re.sub(r"<[^<>]*>|\[[^\]]*\]", " ", part))[-1:]
+        else:
+            names = _NAME.findall(part)[:1]
+        found += names
+    return found
+
+
 def islands(path: str | None, text: str | None) -> Iterator[Island]:
     """The functions of a file in the order in which they close; nothing for unknown languages or null texts."""
     ext = language(path)
@@ -92,7 +141,7 @@ def _braced(grammar: re.Pattern, text: str) -> Iterator[Island]:
             pending = None
         else:
             begin = m.end() - len(m.group().lstrip())
-            near = _ANNOTATION.match(text, doc[1], begin) if doc[1] and begin - doc[1] < 2000 else None
+            near = _ANNOTATION.match(text, doc[1], begin) if doc[1] else None
             pending = (m.group("name") or m.groupdict().get("name2"), begin, text[doc[0] : doc[1]] if near else "")
 
 
@@ -135,7 +184,7 @@ def _indented(text: str) -> Iterator[Island]:
                 if m:
                     comments[n] = above
                     end, open_ = n, line.count("(") - line.count(")")
-                    while open_ > 0 and end + 1 < len(lines) and end - n < 200:
+                    while open_ > 0 and end + 1 < len(lines):
                         end += 1
                         open_ += lines[end].count("(") - lines[end].count(")")
                     stack.append((indent, m["name"], numbers[n][0], n, end + 1))
