@@ -35,6 +35,8 @@ BINS_PER_TASK, FAN_IN = 50_000, 8
 LEAST_GAIN = 0.02
 #: The vocabulary, as a folder (see its README) and a file of merge ranks in it.
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+#: Bytes of a vocabulary that may be sent to the tasks.
+VOCABULARY_LIMIT = 64 << 20
 #: Fixed value: the pre-tokenizer pattern that belongs to the ranks.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,11 +44,21 @@ BIN = "bin string, used int, items array<struct<doc_id:bigint,piece:int,first_to
 
 
 @lru_cache(2)
-def encoding(folder: str = TOKENIZERS, ranks: str = RANKS):
+def vocabulary(folder: str = TOKENIZERS, ranks: str = RANKS) -> bytes:
+    """The merge ranks as stored, read where the plan is made; tasks get them with the job."""
+    with open(f"{folder}/{ranks}", "rb") as file:
+        data = file.read(VOCABULARY_LIMIT + 1)
+    if len(data) > VOCABULARY_LIMIT:
+        raise ValueError(f"the vocabulary {folder}/{ranks} is larger than {VOCABULARY_LIMIT} bytes")
+    return data
+
+
+@lru_cache(2)
+def encoding(data: bytes | None = None):
+    """The tokenizer of a vocabulary, built once per worker process."""
     import tiktoken
 
-    with open(f"{folder}/{ranks}", "rb") as lines:
-        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, (data or vocabulary()).splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
@@ -80,9 +92,10 @@ def best_fit(loads: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(loads: list[int], contents: list[list], capacity: int, level: int) -> pd.DataFrame:
+def _packed(loads: list[int], contents: list[list], capacity: int, level: int, flush: int = 0) -> pd.DataFrame:
+    """Bins named by round, task and flush of the task: no two of a result share a name, and a repeated task gives the same names."""
     task = TaskContext.get()
-    where = f"{level}-{task.partitionId() if task else 0}"
+    where = f"{level}-{task.partitionId() if task else 0}-{flush}"
     rows = []
     for k, members in enumerate(best_fit(loads, capacity)):
         rows.append((f"{where}-{k}", sum(loads[m] for m in members), [x for m in members for x in contents[m]]))
@@ -90,20 +103,23 @@ def _packed(loads: list[int], contents: list[list], capacity: int, level: int) -
 
 
 def first_round(documents: DataFrame, capacity: int, folder: str, ranks: str) -> DataFrame:
-    """Bins of each task's own texts."""
+    """Bins of each task's own texts; a task with more than ``10 * BINS_PER_TASK`` pieces packs them in several flushes."""
+
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary(folder, ranks))
+    at_once = 10 * BINS_PER_TASK
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = encoding(folder, ranks).encode_ordinary
-        loads, contents = [], []
+        count = encoding(sent.value).encode_ordinary
+        loads, contents, flush = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 for piece, start, n in pieces(len(count(text)), capacity):
                     loads.append(n)
                     contents.append([(None if pd.isna(doc_id) else int(doc_id), piece, start, n)])
-            if len(loads) >= 10 * BINS_PER_TASK:
-                yield _packed(loads, contents, capacity, -len(loads))
-                loads, contents = [], []
-        yield _packed(loads, contents, capacity, 0)
+            if len(loads) >= at_once:
+                yield _packed(loads, contents, capacity, 0, flush)
+                loads, contents, flush = [], [], flush + 1
+        yield _packed(loads, contents, capacity, 0, flush)
 
     return documents.filter("text is not null and text <> ''").select("doc_id", "text").mapInPandas(pack, BIN)
 

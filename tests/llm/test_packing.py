@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lodegraph.llm import packing
 from lodegraph.llm.packing import CAPACITY, best_fit, containers, encoding, pieces, placed, summary
 
 
@@ -61,3 +62,27 @@ def test_nothing_to_pack(spark):
 def test_items_that_never_fit_together(spark):
     docs = spark.createDataFrame([(i, "word " * 1500) for i in range(30)], "doc_id bigint, text string").repartition(8)
     assert summary(containers(docs)).first().n_bins == 30
+
+
+@pytest.mark.parametrize("bins_per_task", [1, 2])
+def test_bins_of_several_flushes_have_names_of_their_own(spark, texts, monkeypatch, bins_per_task):
+    monkeypatch.setattr(packing, "BINS_PER_TASK", bins_per_task)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+        rows = placed(containers(docs)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    used = {}
+    for r in rows:
+        used[r.bin] = used.get(r.bin, 0) + r.n_tokens
+    assert max(used.values()) <= CAPACITY and all(used[r.bin] == r.bin_tokens for r in rows)
+    count = encoding().encode_ordinary
+    assert sum(used.values()) == sum(len(count(t)) for _, t in texts if t)
+
+
+def test_a_vocabulary_beyond_the_limit_is_refused(monkeypatch):
+    packing.vocabulary.cache_clear()
+    monkeypatch.setattr(packing, "VOCABULARY_LIMIT", 10)
+    with pytest.raises(ValueError):
+        packing.vocabulary()
