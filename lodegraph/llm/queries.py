@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm.docpairs import code_description_pairs, indexed_pairs
-from lodegraph.llm.handwritten import mined_patterns, not_handwritten
+from lodegraph.llm.handwritten import not_handwritten, patterns_in_use
 from lodegraph.llm.leakage import leaked_passages
 from lodegraph.llm.packing import containers, placed, summary
 from lodegraph.llm.residue import with_residue
@@ -33,8 +33,7 @@ def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "files").filter("path is not null")
-    return mined_patterns(files.groupBy("path").agg((F.max_by("generated", "indexed_at") == 1).alias("declared")).select("path", F.coalesce("declared", F.lit(False)).alias("declared")))
+    return patterns_in_use(table(spark, folder, "files"), table(spark, folder, "file_texts"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
