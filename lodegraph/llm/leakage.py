@@ -3,14 +3,16 @@
 Method: q-gram lemma filtering.  Texts become streams of letters and digits (case, spacing, punctuation, markup,
 escapes and invisible characters vanish), items one stream of question and answer each.  The q-grams of a
 batch of documents are looked up in the items' q-grams; hits are counted per item in overlapping bands of
-diagonals.  A region that holds a passage within the edit budget keeps at least ``MIN_HITS`` shared q-grams in
-some band, so bands below are dropped; what stays is chained into exact runs, and the gaps between runs are
-aligned within a band to find the words that are intact.
+diagonals.  The lemma bounds what a passage within the edit budget keeps: each edited word destroys at most
+``Q - 1`` q-grams and its own length of them, a cut at most ``Q - 1``.  The bound is computed for every place of an
+item from the real lengths of the words there; pairs without a region that meets it are dropped.  What stays is chained into exact runs, and the words between
+runs are aligned within a band to count what differs.  Nothing depends on what other items hold.
 
 Scale: documents are read once per block of items and never shuffled before a match is found; a document or a
-stretch of boilerplate that occurs often costs its own task only.  The items are the stated query set.  Their
-index goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, so what is sent is bounded whatever
-the number of items; further blocks are further passes.
+stretch of boilerplate that occurs often costs its own task only.  The items are the stated query set.  They are
+read one block of at most ``BLOCK_CHARS`` characters at a time; a block goes to the tasks, whose workers index it
+once; further blocks are further passes, each written before the next is read.  Where boilerplate of all items
+fills a document, its hits are expanded for a part of the items at a time.
 
 Nulls: null ids are ignored; null or empty texts contain nothing.  Repeated rows give the pair once.  An item
 found in both question and answer is one row.  Empty tables give an empty result.
@@ -21,30 +23,33 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Length of a q-gram in bytes of the stream, width of a diagonal band, least number of shared q-grams in it.
-Q, BAND, MIN_HITS = 16, 32, 6
-#: Least q-grams shared by document and item over all dense bands: so many if several of them are rare among the items, else as
-#: many as a passage of twenty words of five letters keeps after two changed words (the q-gram lemma's bound).
-MIN_SHARED, RARE, MIN_RARE, MIN_COMMON = 14, 3, 4, 45
-#: A passage has this many words, of which one in so many may differ; this many words may be missing where it is cut in two.
-PASSAGE_WORDS, EDIT_SHARE, END_LOSS = 20, 8, 2
-#: Exact runs further apart than this belong to different pieces; pieces shorter than this many words do not count.
-GAP_BYTES, PIECE_WORDS = 96, 7
-#: Most bytes of items in one block.
-BLOCK_CHARS = 8_000_000
-#: Bytes of documents hashed at once.
-CHUNK = 4_000_000
+from lodegraph.plans.storage import Workspace
+
+#: Length of a q-gram in bytes of the stream, and width of a diagonal band.
+Q, BAND = 12, 32
+#: A passage has this many words, of which one in so many may differ.
+PASSAGE_WORDS, EDIT_SHARE = 20, 8
+#: Exact runs further apart than this belong to different pieces; pieces with fewer exact words than this are no evidence.
+GAP_BYTES, PIECE_WORDS = 96, 3
+#: Words by which a piece is continued word for word at either end, where runs are too short for a q-gram.
+REACH = 12
+#: Most bytes of items in one block, of documents hashed at once, and of hits expanded at once.
+BLOCK_CHARS, CHUNK, EXPANDED = 8_000_000, 4_000_000, 8_000_000
 
 _LOWER = bytes(ord(chr(i).lower()) if i < 128 else i for i in range(256))
 _DROP = bytes(i for i in range(128) if not chr(i).isalnum())
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300})?/?>")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*+(?:\s[^<>]*+)?/?>")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[\da-fA-F]{1,6}|[A-Za-z]{2,10});")
 _ESCAPE = re.compile(r"\\(?:u([\da-fA-F]{4})|x([\da-fA-F]{2})|[nrtbf0])")
 _PERCENT = re.compile(r"(?:%[\da-fA-F]{2})+")
@@ -52,8 +57,20 @@ _NUMBERED = re.compile(r"^[ \t]*\d{1,5}(?:[ \t]{2,}|[:|.)][ \t]+|\t)(?=\S)", re.
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Marks(dict):
+    """Combining marks and invisible characters to nothing, all others to themselves; each is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        ch = chr(code)
+        self[code] = None if unicodedata.combining(ch) or unicodedata.category(ch) == "Cf" else code
+        return self[code]
+
+
+_MARKS = _Marks()
+
+
 def plain(text: str) -> str:
-    """``text`` without markup and escapes, in lower case."""
+    """``text`` without markup and escapes."""
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
     if "<" in text:
@@ -63,24 +80,60 @@ def plain(text: str) -> str:
     if "%" in text and _PERCENT.search(text):
         text = _PERCENT.sub(lambda m: bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace"), text)
     if not text.isascii():
-        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     return text
 
 
-def stream(text: str) -> bytes:
-    """The letters and digits of ``text`` in lower case, as bytes."""
+def unnumbered(text: str) -> str:
+    """``plain`` text without line numbers, if it has some."""
     text = plain(text)
     if _NUMBERED.search(text) and len(_NUMBERED.findall(text)) >= 3:
         text = _NUMBERED.sub("", text)
+    return text
+
+
+def packed(text: str) -> bytes:
+    """The letters and digits of an ``unnumbered`` text in lower case, as bytes."""
     if text.isascii():
         return text.encode().translate(_LOWER, _DROP)
     return re.sub(r"[\W_]+", "", text.casefold()).encode("utf-8", "replace")
 
 
-def item_stream(question: str | None, answer: str | None) -> tuple[bytes, np.ndarray]:
+def stream(text: str) -> bytes:
+    return packed(unnumbered(text))
+
+
+def word_ends(text: str) -> list[int]:
+    """The ends of the words of an ``unnumbered`` text in its stream."""
+    words = _WORD.findall(text.casefold())
+    return list(accumulate(map(len, words) if text.isascii() else (len(w.encode("utf-8", "replace")) for w in words)))
+
+
+def item_stream(question: str | None, answer: str | None) -> tuple[bytes, list[int]]:
     """Stream of an item, and the ends of its words in it."""
-    words = [w.encode("utf-8") for part in (question, answer) for w in _WORD.findall(plain(part or "").casefold())]
-    return b"".join(words), np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
+    data, ends = b"", []
+    for part in (question, answer):
+        for w in _WORD.findall(plain(part or "").casefold()):
+            data += w.encode("utf-8", "replace")
+            ends.append(len(data))
+    return data, ends
+
+
+def lemma_bounds(ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte of an item's stream: the least number of q-grams that a passage of ``PASSAGE_WORDS`` words around it keeps within its
+    edit budget, cut in two; and the end of the passage that starts with the byte's word."""
+    lengths = np.diff(np.array([0, *ends]))
+    n, edits = len(lengths), PASSAGE_WORDS // EDIT_SHARE
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept = []
+    for w in range(max(1, n - PASSAGE_WORDS + 1)):
+        window = lengths[w : w + PASSAGE_WORDS]
+        kept.append(max(1, int(window.sum() - 2 * (Q - 1) - (Q - 1 + np.sort(window)[-edits:]).sum())))
+    # the passages that hold a word start up to PASSAGE_WORDS - 1 words before it
+    least = np.array([min(kept[max(0, w - PASSAGE_WORDS + 1) : w + 1] or kept[-PASSAGE_WORDS:]) for w in range(n)])
+    until = np.array(ends)[np.minimum(np.arange(n) + PASSAGE_WORDS, n) - 1]
+    return np.repeat(least, lengths), np.repeat(until, lengths)
 
 
 def _power(k: int) -> np.uint64:
@@ -88,21 +141,29 @@ def _power(k: int) -> np.uint64:
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
-    """Hashes of the q-grams of a byte array, one per position (Q is a power of two)."""
-    h, n = data.astype(np.uint64), 1
-    while n < Q and len(h) > n:
-        h = h[:-n] * _power(n) + h[n:]
-        n *= 2
-    return h * np.uint64(0xD6E8FEB86659FD93) if n == Q else np.zeros(0, np.uint64)
+    """Hashes of the q-grams of a byte array, one per position: lengths are doubled and put together as the binary digits of Q say."""
+    if len(data) < Q:
+        return np.zeros(0, np.uint64)
+    h, n, out, m = data.astype(np.uint64), 1, None, 0
+    while True:
+        if Q & n:
+            out, m = (h, n) if out is None else (out[: len(data) - m - n + 1] * _power(n) + h[m:], m + n)
+        if m == Q:
+            return out * np.uint64(0xD6E8FEB86659FD93)
+        h, n = h[:-n] * _power(n) + h[n:], 2 * n
 
 
 class ItemIndex:
     """Q-grams of a block of items: sorted hashes with their (item, position) lists, and a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str | None, str | None]]):
+        self.items, self._halves, self._hidden = items, None, {}
         self.ids = [i for i, _, _ in items]
         streams = [item_stream(q, a) for _, q, a in items]
         self.bytes, self.ends = [s for s, _ in streams], [e for _, e in streams]
+        places = [lemma_bounds(e) for e in self.ends]
+        self.offset = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes]))).astype(np.int64)
+        self.need, self.until = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*places)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         grams = [qgrams(np.frombuffer(s, np.uint8)) for s in self.bytes]
         sizes = [len(g) for g in grams]
         keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -110,42 +171,74 @@ class ItemIndex:
         self.item = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
         self.at = (np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32))[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.key_need = np.minimum.reduceat(self.need[self.offset[self.item] + self.at], self.first) if len(self.keys) else np.zeros(0, np.int64)
         self.shift = np.uint64(64 - 24)
         self.table = np.zeros(1 << 24, np.bool_)
         self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, item position, rare) of every shared q-gram in dense bands."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.bool_)
+    def hidden(self, k: int) -> tuple:
+        if k not in self._hidden:
+            self._hidden[k] = hidden_words(self.ends[k])
+        return self._hidden[k]
+
+    def halves(self) -> list[ItemIndex]:
+        if self._halves is None:
+            middle = len(self.items) // 2
+            self._halves = [ItemIndex(self.items[:middle]), ItemIndex(self.items[middle:])]
+        return self._halves
+
+    def shared(self, data: bytes, starts: np.ndarray) -> Iterator[tuple[ItemIndex, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(index, position, document, item, item position) of the shared q-grams of all pairs that may hold a passage; ``starts`` are those of the documents."""
         h = qgrams(np.frombuffer(data, np.uint8))
         if not len(h) or not len(self.keys):
-            return none
+            return
         where = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
         key = np.minimum(np.searchsorted(self.keys, h[where]), len(self.keys) - 1)
         good = self.keys[key] == h[where]
         where, key = where[good], key[good]
-        # A passage gives runs of hits; a q-gram far from MIN_HITS others in the document lies in no dense band.
-        if len(where) < MIN_HITS:
-            return none
-        reach = 4 * GAP_BYTES
+        # Of what a passage keeps at least half lies together; a q-gram with fewer others around it belongs to none.
+        reach = PASSAGE_WORDS * 24 + GAP_BYTES
         crowd = np.searchsorted(where, where + reach) - np.searchsorted(where, where - reach)
-        where, key = where[crowd >= MIN_HITS], key[crowd >= MIN_HITS]
+        dense = 2 * crowd >= self.key_need[key]
+        yield from self._pairs(where[dense], key[dense], h, starts)
+
+    def _pairs(self, where: np.ndarray, key: np.ndarray, h: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
         times = self.count[key]
         total = int(times.sum())
         if not total:
-            return none
+            return
+        if total > EXPANDED and len(self.items) > 1:
+            for half in self.halves():
+                if len(half.keys):
+                    at = np.minimum(np.searchsorted(half.keys, h[where]), len(half.keys) - 1)
+                    good = half.keys[at] == h[where]
+                    yield from half._pairs(where[good], at[good], h, starts)
+            return
         start = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(total)
         position, item, at = np.repeat(where, times), self.item[start], self.at[start].astype(np.int64)
-        # Overlapping bands: cells of BAND diagonals, each counted with either neighbour.
-        cell = item.astype(np.int64) * (1 << 40) + (position - at + (1 << 30)) // BAND
-        cells, back, n = np.unique(cell, return_inverse=True, return_counts=True)
+        document = np.searchsorted(starts, position, "right") - 1
+        pair = document * len(self.items) + item
+        need = self.need[self.offset[item] + at]
+        # Overlapping bands: cells of BAND diagonals, each counted with either neighbour, must hold half of what some of their places need.
+        cell = pair * (1 << 27) + ((position - starts[document] - at) // BAND + (1 << 26))
+        order = np.argsort(cell, kind="stable")
+        cells, first, n = np.unique(cell[order], return_index=True, return_counts=True)
+        least = np.minimum.reduceat(need[order], first)
         after = np.concatenate((np.where(np.diff(cells) == 1, n[1:], 0), [0]))
         before = np.concatenate(([0], np.where(np.diff(cells) == 1, n[:-1], 0)))
-        keep = ((n + np.maximum(after, before)) >= MIN_HITS)[back]
-        return position[keep], item[keep], at[keep], (times <= RARE).repeat(times)[keep]
-
-
-def _runs(position: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        full = 2 * (n + np.maximum(after, before)) >= least
+        mine = np.isin(pair, np.unique(cells[full] >> 27))
+        position, document, item, at, pair, need = position[mine], document[mine], item[mine], at[mine], pair[mine], need[mine]
+        # A passage that starts at a shared q-gram's word holds as many different ones as its place needs.
+        spot = pair * (1 << 32) + at
+        spots, first = np.unique(spot, return_index=True)
+        ends = (spots >> 32 << 32) + self.until[self.offset[item[first]] + at[first]]
+        enough = np.searchsorted(spots, ends) - np.arange(len(spots)) >= need[first]
+        mine = np.isin(pair, np.unique(spots[enough] >> 32))
+        yield self, position[mine], document[mine], item[mine], at[mine]
+
+
+def exact_runs(position: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     """Maximal exact runs (document start, item start, length) of one document and item."""
     diagonal = position - at
     order = np.lexsort((position, diagonal))
@@ -156,157 +249,339 @@ def _runs(position: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted((int(position[s]), int(at[s]), int(n)) for s, n in zip(starts, lengths))
 
 
-def aligned(a: bytes, b: bytes, band: int = BAND) -> list[tuple[int, int]]:
-    """Positions (in a, in b) of equal bytes on a best alignment of a and b within a band of diagonals."""
-    n, m = len(a), len(b)
-    slack = band + abs(n - m)
-    best: list[dict[int, int]] = [dict.fromkeys(range(0, min(m, slack) + 1), 0)]
-    for i in range(1, n + 1):
-        row: dict[int, int] = {}
-        up = best[-1]
-        for j in range(max(0, i - slack), min(m, i + slack) + 1):
-            score = max(up.get(j, -1), row.get(j - 1, -1))
-            if j and a[i - 1] == b[j - 1]:
-                score = max(score, up.get(j - 1, -1) + 1)
-            row[j] = max(score, 0)
-        best.append(row)
-    pairs, i, j = [], n, m
-    while i and j:
-        here = best[i].get(j, 0)
-        if a[i - 1] == b[j - 1] and best[i - 1].get(j - 1, -1) + 1 == here:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i - 1].get(j, -1) >= best[i].get(j - 1, -1):
-            i -= 1
-        else:
-            j -= 1
-    return pairs[::-1]
-
-
-def _gap(item: bytes, ends: np.ndarray, document: bytes, i0: int, i1: int, d0: int, d1: int) -> int:
-    """Words that differ between two runs: item words that are not intact, or document text that is added."""
-    first, last = int(np.searchsorted(ends, i0, "right")), int(np.searchsorted(ends, max(i0, i1 - 1), "right"))
-    words = [(int(ends[w - 1]) if w else 0, int(ends[w])) for w in range(first, min(last, len(ends) - 1) + 1)] if i1 > i0 else []
-    if not words and d1 <= d0:
-        return 0
-    if d1 <= d0:
-        return len(words)
-    lost, extra = len(words), d1 - d0
-    if words and extra <= 4 * GAP_BYTES:
-        pairs = aligned(item[i0:i1], document[d0:d1])
-        matched = dict(pairs)
-        intact = 0
-        for s, e in words:
-            inside = [matched.get(x - i0) for x in range(max(s, i0), min(e, i1))]
-            if None not in inside and all(y - x == 1 for x, y in zip(inside, inside[1:])):
-                intact += 1
-                extra -= len(inside)
-        lost -= intact
-    return max(lost, -(-max(0, extra) // 8) if extra > 3 else 0)
-
-
-def passage_words(item: bytes, ends: np.ndarray, document: bytes, runs: list[tuple[int, int, int]]) -> int:
-    """Words of the item in the best passage of one or two pieces that its runs in a document make up; 0 if over the edit budget."""
-    chain: list[list[tuple[int, int, int]]] = []
+def differing(a: list[bytes], b: list[bytes]) -> int:
+    """Changed, missing and added words between two word lists: edit distance within a band of diagonals."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b or len(a) == len(b) == 1:
+        return max(len(a), len(b))
+    band, far = BAND + abs(len(a) - len(b)), len(a) + len(b)
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i] + [far] * len(b)
+        for j in range(max(1, i - band), min(len(b), i + band) + 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != b[j - 1]))
+        last = row
+    return last[-1]
+
+
+def _touched(ends: list[int], low: int, high: int) -> tuple[int, int]:
+    """Words [first, last) with a byte in [low, high), or the one that an empty range cuts."""
+    first = bisect_right(ends, low)
+    if low == high:
+        return first, first + (first < len(ends) and low > 0 and ends[first - 1] != low if first else first < len(ends) and low > 0)
+    return first, min(bisect_left(ends, high) + 1, len(ends))
+
+
+def _words(data: bytes, ends: list[int], first: int, last: int) -> list[bytes]:
+    return [data[ends[w - 1] if w else 0 : ends[w]] for w in range(first, last)]
+
+
+def faults(item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], a: tuple[int, int, int], b: tuple[int, int, int]) -> int:
+    """Words that differ between two runs.  Where the document's words are torn apart (spaced letters, escapes) its bytes are counted instead, eight to a word."""
+    i0, i1, d0, d1 = a[1] + a[2], b[1], a[0] + a[2], b[0]
+    mine = _touched(ends, i0, i1)
+    by_bytes = max(mine[1] - mine[0], -(-(d1 - d0) // 8))
+    if by_bytes < 2:
+        return by_bytes
+    theirs = document_ends()
+    return min(by_bytes, differing(_words(item, ends, *mine), _words(document, theirs, *_touched(theirs, d0, d1))))
+
+
+def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Runs in pieces: each goes on where a run of the piece ends, at most ``GAP_BYTES`` on."""
+    done, live = [], []
     for d, i, n in runs:
+        still = []
         best = None
-        for piece in chain:
+        for piece in live:
             pd_, pi, pn = piece[-1]
-            if -Q < d - (pd_ + pn) <= GAP_BYTES and -Q < i - (pi + pn) <= GAP_BYTES and i > pi and d > pd_:
+            if d - (pd_ + pn) > GAP_BYTES:
+                done.append(piece)
+                continue
+            still.append(piece)
+            if d > pd_ and i > pi and -Q < d - (pd_ + pn) and -Q < i - (pi + pn) <= GAP_BYTES:
                 if best is None or abs((d - pd_) - (i - pi)) < abs((d - best[-1][0]) - (i - best[-1][1])):
                     best = piece
+        live = still
         if best is None:
-            chain.append([(d, i, n)])
+            live.append([(d, i, n)])
         else:
             pd_, pi, pn = best[-1]
             cut = max(0, pd_ + pn - d, pi + pn - i)
-            if n - cut >= 4:
+            if n > cut:
                 best.append((d + cut, i + cut, n - cut))
-    pieces: list[tuple[int, int, int, int]] = []
-    for piece in chain:
-        faults = [_gap(item, ends, document, a[1] + a[2], b[1], a[0] + a[2], b[0]) for a, b in zip(piece, piece[1:])]
-        best_piece = (0, 0, 0, 0)
-        for x in range(len(piece)):
-            wrong = 0
-            for y in range(x, len(piece)):
-                if y > x:
-                    wrong += faults[y - 1]
-                start, end = piece[x][1], piece[y][1] + piece[y][2]
-                first = int(np.searchsorted(ends, start, "left")) + 1 if start else 0
-                last = int(np.searchsorted(ends, end, "right"))
-                words = last - first
-                if words > best_piece[0] and wrong * EDIT_SHARE <= words:
-                    best_piece = (words, first, last, piece[x][0])
-        if best_piece[0] >= PIECE_WORDS:
-            pieces.append(best_piece)
-    top = max((p[0] for p in pieces), default=0)
-    for a in pieces:
-        for b in pieces:
-            # the second piece goes on where the first ends, a changed word or two apart
-            if a is not b and -2 <= b[1] - a[2] <= END_LOSS + 1:
-                top = max(top, a[0] + b[0])
-    return top
+    return done + live
+
+
+def continued(mine: list[bytes], theirs: list[bytes]) -> list[int]:
+    """Least faults with which the first x words of ``mine`` go on in ``theirs``, for x from 0 on."""
+    last = list(range(len(theirs) + 1))
+    out = [0]
+    for i, x in enumerate(mine, 1):
+        row = [i]
+        for j, y in enumerate(theirs, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        out.append(min(row))
+        last = row
+    return out
+
+
+def hidden_words(ends: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Per word: how many words before it, and from it on, one and two faults can hide from q-grams.
+
+    Between faults lie runs too short for a q-gram: with f faults at most f runs of Q - 1 bytes and f words of any length.
+    """
+    lengths = [b - a for a, b in zip([0, *ends], ends)]
+
+    def most(words: list[int], edits: int) -> int:
+        x = 0
+        while x < len(words) and sum(sorted(words[: x + 1])[: max(0, x + 1 - edits)]) <= edits * (Q - 1):
+            x += 1
+        return x
+
+    before = [lengths[max(0, w - REACH) : w][::-1] for w in range(len(lengths) + 1)]
+    after = [lengths[w : w + REACH] for w in range(len(lengths) + 1)]
+    return tuple([most(words, f) for words in side] for side in (before, after) for f in (1, 2))
+
+
+class Passages:
+    """The best passage that the exact runs of one document and item make up."""
+
+    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: tuple | None = None):
+        self.item, self.ends, self.document, self.document_ends = item, ends, document, document_ends
+        self.before1, self.before2, self.after1, self.after2 = hidden or hidden_words(ends)
+        self.known: dict[tuple[bool, int, int], list[int]] = {}
+
+    def ahead(self, word: int, position: int) -> list[int]:
+        """Faults of going on at item word ``word`` and document byte ``position``."""
+        key = (True, word, position)
+        if key not in self.known:
+            ends = self.document_ends()
+            k, n = bisect_right(ends, position), self.after2[word]
+            theirs = _words(self.document, ends, k, min(len(ends), k + n + 2))
+            if theirs:
+                theirs[0] = self.document[position : ends[k]]
+            self.known[key] = continued(_words(self.item, self.ends, word, min(len(self.ends), word + n)), theirs)
+        return self.known[key]
+
+    def back(self, word: int, position: int) -> list[int]:
+        """Faults of going back from item word ``word`` and document byte ``position``, both excluded."""
+        key = (False, word, position)
+        if key not in self.known:
+            ends = self.document_ends()
+            k, n = bisect_right(ends, position), self.before2[word]
+            theirs = _words(self.document, ends, max(0, k - n - 2), k)
+            if position and k < len(ends) and position > (ends[k - 1] if k else 0):
+                theirs.append(self.document[ends[k - 1] if k else 0 : position])
+            self.known[key] = continued(_words(self.item, self.ends, max(0, word - n), word)[::-1], theirs[::-1])
+        return self.known[key]
+
+    def may_be(self, first: int, last: int, wrong: int) -> bool:
+        """Whether words [first, last) with so many faults can be a passage together with what q-grams do not show at their ends."""
+        most = last - first + max(self.before2[first], self.after2[last], self.before1[first] + self.after1[last])
+        return most >= PASSAGE_WORDS and wrong * EDIT_SHARE <= most
+
+    def anchors(self, first: int, last: int) -> list[tuple[int, int, int]]:
+        """Exact places in the document of three words in a row that follow or precede words [first, last): runs too short for a q-gram."""
+        out = []
+        for w in [*range(max(0, first - REACH), max(0, first - 2)), *range(last, min(len(self.ends), last + REACH) - 2)]:
+            begin = self.ends[w - 1] if w else 0
+            wanted = self.item[begin : self.ends[w + 2]]
+            if len(wanted) < Q:  # longer ones have q-grams
+                at = self.document.find(wanted)
+                while at >= 0:
+                    out.append((at, begin, len(wanted)))
+                    at = self.document.find(wanted, at + 1)
+        return out
+
+    @staticmethod
+    def best(words: int, wrong: int, back: list[int], ahead: list[int]) -> int:
+        """Most words of a stretch with its continuations at both ends, within the budget; 0 if beyond it."""
+        top = 0
+        for x, f in enumerate(back):
+            room = (words + x + len(ahead) - 1) // EDIT_SHARE - wrong - f
+            if room < 0:
+                continue
+            y = bisect_right(ahead, room) - 1
+            while y >= 0 and (wrong + f + ahead[y]) * EDIT_SHARE > words + x + y:
+                y -= 1
+            if y >= 0:
+                top = max(top, words + x + y)
+        return top
+
+    def longest(self, runs: list[tuple[int, int, int]]) -> int:
+        """Words of the item in the best passage of one or two pieces; 0 or fewer than ``PASSAGE_WORDS`` if there is none."""
+        top, half = self.searched(runs)
+        if half and top < PASSAGE_WORDS:
+            # Half a passage is there: its other piece may be of words so short that no q-gram shows it.
+            more = self.anchors(*half)
+            if more:
+                top = max(top, self.searched(_merged([*runs, *more]))[0])
+        return top
+
+    def searched(self, runs: list[tuple[int, int, int]]) -> tuple[int, tuple[int, int] | None]:
+        """The best passage over ``runs``, and the longest stretch that may be a half of one."""
+        ends = self.ends
+        together = chains(runs)
+        reach = sorted(bisect_right(ends, piece[-1][1] + piece[-1][2]) - bisect_left(ends, piece[0][1]) for piece in together)
+        if sum(reach[-2:]) < PASSAGE_WORDS // 2:
+            return 0, None
+        top, half = 0, (0, 0)
+        pieces: list[list[tuple[int, int, int, int, int]]] = []  # (first word, last word, begin and end in the document, faults)
+        for piece in together:
+            between = [faults(self.item, ends, self.document, self.document_ends, a, b) for a, b in zip(piece, piece[1:])]
+            spans = []
+            for x, (d, i, _) in enumerate(piece):
+                first = bisect_left(ends, i) + 1 if i else 0
+                begin = d + (ends[first - 1] if first else 0) - i
+                wrong = 0
+                for y in range(x, len(piece)):
+                    wrong += between[y - 1] if y > x else 0
+                    last = bisect_right(ends, piece[y][1] + piece[y][2])
+                    # no other piece has more than a passage's words, or it would be one by itself
+                    if wrong * EDIT_SHARE > last - first + 2 * PASSAGE_WORDS:
+                        continue
+                    if last - first >= PIECE_WORDS:
+                        end = piece[y][0] + ends[last - 1] - piece[y][1]
+                        spans.append((first, last, begin, end, wrong))
+                        if wrong * EDIT_SHARE <= last - first:
+                            top = max(top, last - first)
+                        if wrong <= PASSAGE_WORDS // EDIT_SHARE and last - first > half[1] - half[0]:
+                            half = first, last
+            if spans:
+                pieces.append(spans)
+        half = half if half[1] - half[0] >= PASSAGE_WORDS // 2 - PASSAGE_WORDS // EDIT_SHARE else None
+        if top >= PASSAGE_WORDS:
+            return top, half
+        for spans in pieces:
+            for first, last, begin, end, wrong in spans:
+                if self.may_be(first, last, wrong):
+                    top = max(top, self.best(last - first, wrong, self.back(first, begin), self.ahead(last, end)))
+        if top >= PASSAGE_WORDS or len(pieces) < 2:
+            return top, half
+        # Two pieces: one goes on, a few words on or over, where the other ends; the budget holds for both together.
+        # A phrase that the document repeats gives many spans of the same words: they are taken by how they can be continued.
+        places: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for spans in pieces:
+            for first, last, begin, end, wrong in spans:
+                places.setdefault((first, last, wrong), []).append((begin, end))
+        starting: dict[int, list[tuple[int, int, int]]] = {}
+        for span in places:
+            starting.setdefault(span[0], []).append(span)
+        profiles: dict[tuple[int, int, int], set] = {}
+
+        def ways(span: tuple[int, int, int]) -> set:
+            if span not in profiles:
+                profiles[span] = {(tuple(self.back(span[0], begin)), tuple(self.ahead(span[1], end))) for begin, end in places[span]}
+            return profiles[span]
+
+        for a in places:
+            first, last, wrong = a
+            for middle in range(last - REACH, last + REACH + 1):
+                for b in starting.get(middle, ()):
+                    _, last2, wrong2 = b
+                    gap = max(0, middle - last)
+                    if last2 <= last or middle <= first or gap and gap > max(self.after2[last], self.before2[middle], self.after1[last] + self.before1[middle]) or not self.may_be(first, last2, wrong + wrong2 + (gap > 0)):
+                        continue
+                    for back, on in ways(a):
+                        for before, ahead in ways(b):
+                            lost = min((on[x] + before[gap - x] for x in range(gap + 1) if x < len(on) and gap - x < len(before)), default=gap) if gap else 0
+                            top = max(top, self.best(last2 - first, wrong + wrong2 + lost, back, ahead))
+        return top, half
+
+
+def _merged(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of which those that overlap on a diagonal are one."""
+    out: list[tuple[int, int, int]] = []
+    for d, i, n in sorted(runs, key=lambda r: (r[0] - r[1], r[0])):
+        if out and out[-1][0] - out[-1][1] == d - i and d <= out[-1][0] + out[-1][2]:
+            last = out[-1]
+            out[-1] = (last[0], last[1], max(last[2], d + n - last[0]))
+        else:
+            out.append((d, i, n))
+    return sorted(out)
 
 
 def found_in(index: ItemIndex, ids: list[int], texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
     """(document id, item id, words) of the passages in a batch of documents."""
-    streams = [stream(t) if t else b"" for t in texts]
     begin = 0
-    while begin < len(streams):
-        end, size = begin, 0
-        while end < len(streams) and (end == begin or size + len(streams[end]) <= CHUNK):
-            size += len(streams[end]) + 1
-            end += 1
-        joined = b"\0".join(streams[begin:end])
-        starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in streams[begin:end]])[:-1])).astype(np.int64)
-        position, item, at, rare = index.hits(joined)
-        document = np.searchsorted(starts, position, "right") - 1
-        pair, shared = np.unique(document * len(index.ids) + item, return_inverse=True)
-        total, scarce = np.bincount(shared, minlength=len(pair)), np.bincount(shared, weights=rare, minlength=len(pair))
-        enough = (((total >= MIN_SHARED) & (scarce >= MIN_RARE)) | (total >= MIN_COMMON))[shared]
-        order = np.flatnonzero(enough)[np.argsort(shared[enough], kind="stable")]
-        position, item, at, document = position[order], item[order], at[order], document[order]
-        if len(position):
+    while begin < len(texts):
+        cleaned, streams, size = [], [], 0
+        while begin + len(streams) < len(texts) and (not streams or size <= CHUNK):
+            text = texts[begin + len(streams)]
+            cleaned.append(unnumbered(text) if text else "")
+            streams.append(packed(cleaned[-1]))
+            size += len(streams[-1]) + 1
+        starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in streams])[:-1])).astype(np.int64)
+        known: dict[int, list[int]] = {}
+
+        def ends_of(d: int) -> list[int]:
+            if d not in known:
+                known[d] = word_ends(cleaned[d])
+            return known[d]
+
+        for part, position, document, item, at in index.shared(b"\0".join(streams), starts):
+            order = np.lexsort((item, document))
+            position, document, item, at = position[order], document[order], item[order], at[order]
             cuts = np.flatnonzero((np.diff(document) != 0) | (np.diff(item) != 0)) + 1
             for low, high in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(position)]))):
-                if high - low < MIN_HITS:
+                if low == high:
                     continue
                 k, d = int(item[low]), int(document[low])
-                runs = _runs(position[low:high] - starts[d], at[low:high])
-                words = passage_words(index.bytes[k], index.ends[k], streams[begin + d], runs)
+                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden(k)).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
                 if words >= PASSAGE_WORDS:
-                    yield ids[begin + d], index.ids[k], words
-        begin = end
+                    yield ids[begin + d], part.ids[k], words
+        begin += len(streams)
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str | None, str | None]]]:
-    """The items, read one partition at a time, in blocks of at most BLOCK_CHARS characters."""
-    blocks, block, size = [], [], 0
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str | None]]]:
+    """The items, read one partition at a time, in blocks of at most BLOCK_CHARS characters, of which one is held."""
+    block, size = [], 0
     for row in items.select("item_id", "question", "answer").filter("item_id is not null").distinct().orderBy("item_id", "question", "answer").toLocalIterator():
         length = len(row[1] or "") + len(row[2] or "")
         if block and size + length > BLOCK_CHARS:
-            blocks.append(block)
+            yield block
             block, size = [], 0
         block.append(tuple(row))
         size += length
-    return [*blocks, block] if block else blocks
+    if block:
+        yield block
+
+
+#: The index that this worker process built last, by the name of its block.
+_BUILT: dict[str, ItemIndex] = {}
+
+FOUND = "doc_id bigint, item_id bigint, n_words int"
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words): documents with a passage of an item, with the words of the longest."""
     spark = documents.sparkSession
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    out = None
-    for block in item_blocks(items):
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(sent.value)
+    blocks = item_blocks(items)
+    block = next(blocks, None)
+    space, n, out = None, 0, None
+    while block is not None:
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        following = next(blocks, None)
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
+            if name not in _BUILT:
+                _BUILT.clear()
+                _BUILT[name] = ItemIndex(sent.value)
             for batch in batches:
-                yield pd.DataFrame(found_in(index, batch["doc_id"].tolist(), batch["text"].tolist()), columns=["doc_id", "item_id", "n_words"])
-
-        part = texts.mapInPandas(search, "doc_id bigint, item_id bigint, n_words int")
-        out = part if out is None else out.unionByName(part)
+                yield pd.DataFrame(found_in(_BUILT[name], batch["doc_id"].tolist(), batch["text"].tolist()), columns=["doc_id", "item_id", "n_words"])
+
+        out = texts.mapInPandas(search, FOUND)
+        if following is not None or n:
+            space = space or Workspace(spark, "leakage")
+            part, _ = space.append(out, "found", "block", n)
+            out = space.whole("found", part, "block")
+            sent.destroy()
+        block, n = following, n + 1
     if out is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_words int")
+        return spark.createDataFrame([], FOUND)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

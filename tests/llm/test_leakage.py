@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
+
 from lodegraph.llm import leakage
-from lodegraph.llm.leakage import ItemIndex, aligned, found_in, item_blocks, leaked_passages, stream
+from lodegraph.llm.leakage import PASSAGE_WORDS, Q, ItemIndex, differing, found_in, item_blocks, item_stream, leaked_passages, lemma_bounds, qgrams, stream, word_ends
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(RNG.randint(2, 9))) for _ in range(3000)]
@@ -70,10 +73,101 @@ def test_against_brute_force_on_random_plants():
     assert len(want - got) <= 3 and len(got - want) == 0
 
 
-def test_alignment_and_streams():
-    assert aligned(b"kitten", b"sitting") == [(1, 1), (2, 2), (3, 3), (5, 5)] or len(aligned(b"kitten", b"sitting")) == 4
-    assert aligned(b"", b"abc") == [] and aligned(b"abc", b"abc") == [(0, 0), (1, 1), (2, 2)]
-    assert stream("A<b>b</b>\\n c&amp;​É%20x") == b"abcex" and stream("...") == b""
+def test_distance_and_streams():
+    w = lambda text: [x.encode() for x in text.split()]
+    assert differing(w("a b c d"), w("a x c d e")) == 2 and differing([], w("a b")) == 2 and differing(w("a"), w("b")) == 1 and differing(w("a b"), w("a b")) == 0
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice([b"x", b"y", b"z"]) for _ in range(rng.randrange(9))] for _ in range(2))
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        assert differing(a, b) == d[-1][-1]
+    assert stream("A<b>b</b>\\n c&amp;​É%20x") == b"abcex" and stream("...") == b"" and stream("a<x " + "y" * 5000 + ">b") == b"ab"
+    assert word_ends("Ab, cdé f") == [2, 6, 7] and word_ends("") == []
+    data = np.frombuffer(b"abcabcabcabcabcabc", np.uint8)
+    assert len(qgrams(data)) == 18 - Q + 1 and qgrams(data)[0] == qgrams(data)[3] != qgrams(data)[1] and len(qgrams(data[: Q - 1])) == 0
+
+
+def planted(rng, source, n, edits, pieces=1, ends=False):
+    """A passage of ``n`` words of ``source`` with so many changed, missing or added words at random places (at its ends too, if asked), whole or in two pieces."""
+    at = rng.randint(0, len(source) - n)
+    out = [[w] for w in source[at : at + n]]
+    places = range(n) if ends else range(1, n - 1)
+    for k in rng.sample(places, edits):
+        how = rng.choice("cma")
+        out[k] = [] if how == "m" else [rng.choice(WORDS)] if how == "c" else [out[k][0], rng.choice(WORDS)]
+    cut = rng.randint(6, n - 6) if pieces == 2 else n
+    flat = lambda part: [w for ws in part for w in ws]
+    return flat(out[:cut]), flat(out[cut:])
+
+
+@pytest.mark.parametrize("lengths", [(2, 9), (2, 4), (1, 5), (6, 20)])
+@pytest.mark.parametrize("pieces", [1, 2])
+def test_recall_at_the_edit_budget(lengths, pieces):
+    """One word in eight may differ. All passages of one piece are found, whatever the length of words; of two pieces those of words
+    of two to four letters on average can hide from q-grams altogether, the others are found."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*lengths))) for _ in range(4000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(70)), " ".join(rng.choice(vocabulary) for _ in range(50))) for i in range(40)]
+    index = ItemIndex(items)
+    hit = wrong = 0
+    for k in range(150):
+        i, q, a = rng.choice(items)
+        n = rng.choice([20, 24, 32, 40])
+        first, second = planted(rng, rng.choice([q, a]).split(), n, n // 8, pieces)
+        noise = lambda m: [rng.choice(vocabulary) for _ in range(m)]
+        got = {x for _, x, _ in found_in(index, [1], [" ".join(noise(40) + first + noise(30) + second + noise(40))])}
+        hit += i in got
+        wrong += len(got - {i})
+    assert wrong == 0 and hit >= (148 if pieces == 1 else 143 if lengths[1] > 5 else 80), hit
+
+
+def test_budget_is_kept_to_the_word():
+    i, q, _ = ITEMS[3]
+    p = q.split()[10:34]  # 24 words: three may differ
+    out = lambda words_: i in {x for x, _ in hits(" ".join(words(30) + words_ + words(30)))}
+    long = "averyveryverylongwordindeed"
+    change = lambda at: [long if k in at else w for k, w in enumerate(p)]
+    assert out(change({5, 11, 18})) and not out(change({3, 7, 11, 15, 19}))
+    q20 = q.split()[10:30]
+    assert out([long if k in (6, 13) else w for k, w in enumerate(q20)])  # long replacements are one fault each
+    assert out(q20[:10] + words(60) + q20[10:15] + [long] + q20[16:])  # both pieces share one budget
+    assert out([long if k in (3, 7) else w for k, w in enumerate(q20[:10])] + words(60) + q20[10:])
+    assert out(q20[:14] + words(60) + q20[14:])
+    assert not out(q20[:14]) and not out([long if k in (4, 8, 12, 16) else w for k, w in enumerate(q20)])
+
+
+def test_lemma_bounds_hold():
+    """No passage within the budget keeps fewer q-grams than the bound at its first word says."""
+    rng = random.Random(5)
+    source = [rng.choice(WORDS) for _ in range(60)]
+    data, ends = item_stream(" ".join(source), None)
+    need, until = lemma_bounds(ends)
+    assert len(need) == len(until) == len(data) and until[0] == ends[PASSAGE_WORDS - 1] and until[-1] == len(data)
+    for _ in range(300):
+        at = rng.randint(0, 40)
+        edited = set(rng.sample(range(20), 2))
+        cut = rng.randint(1, 19)
+        runs, run = [], b""
+        for k in range(20):
+            if k in edited or k == cut:
+                runs.append(run)
+                run = b""
+            if k not in edited:
+                run += source[at + k].encode()
+        kept = sum(max(0, len(r) - Q + 1) for r in [*runs, run])
+        assert kept >= need[ends[at - 1] if at else 0] or need[ends[at - 1] if at else 0] == 1
+
+
+def test_boilerplate_of_all_items_is_expanded_in_parts(monkeypatch):
+    common = " ".join(words(45))
+    items = [(i, common + " " + " ".join(words(30)), "x") for i in range(32)]
+    texts = [" ".join(words(10)) + " " + common + " " + " ".join(words(5)), "none"]
+    whole = {(d, i) for d, i, _ in found_in(ItemIndex(items), [1, 2], texts)}
+    monkeypatch.setattr(leakage, "EXPANDED", 500)
+    assert {(d, i) for d, i, _ in found_in(ItemIndex(items), [1, 2], texts)} == whole == {(1, i) for i in range(32)}
 
 
 def test_frames(spark, monkeypatch):
@@ -83,6 +177,6 @@ def test_frames(spark, monkeypatch):
     got = leaked_passages(docs, items)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 3), (5, 3)} and got.count() == 2
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 10_000)
-    assert len(item_blocks(items)) > 3
+    assert len(list(item_blocks(items))) > 3
     assert {(r.doc_id, r.item_id) for r in leaked_passages(docs, items).collect()} == {(1, 3), (5, 3)}
     assert leaked_passages(docs, items.limit(0)).collect() == [] and leaked_passages(docs.limit(0), items).collect() == []
