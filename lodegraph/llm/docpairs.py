@@ -32,8 +32,8 @@ from lodegraph.sources.tables import newest
 ISLANDS = "path string, name string, found array<struct<start_line:int,end_line:int,doc:string,signature:string,code:string>>"
 
 
-def file_islands(texts: DataFrame) -> DataFrame:
-    """One row per (path, name): every function of that name in the file."""
+def file_islands(texts: DataFrame, signatures_only: bool = False) -> DataFrame:
+    """One row per (path, name): every function of that name in the file; with ``signatures_only`` without documentation and code, which then need not travel."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -41,7 +41,7 @@ def file_islands(texts: DataFrame) -> DataFrame:
             for path, text in zip(batch["path"], batch["text"]):
                 named: dict[str, list] = {}
                 for i in islands(path, text):
-                    named.setdefault(i.name, []).append((i.start_line, i.end_line, i.doc, i.signature, i.code))
+                    named.setdefault(i.name, []).append((i.start_line, i.end_line, *((None, i.signature, None) if signatures_only else (i.doc, i.signature, i.code))))
                 rows += [(path, name, found) for name, found in named.items()]
             yield pd.DataFrame(rows, columns=["path", "name", "found"])
 
@@ -59,18 +59,18 @@ def functions(nodes: DataFrame) -> DataFrame:
     return latest.filter(F.col("kind").isin("function", "method"))
 
 
-def with_islands(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+def with_islands(symbols: DataFrame, texts: DataFrame, signatures_only: bool = False) -> DataFrame:
     """``symbols`` with ``island``, the nearest function of their name in their file, and the signature that holds."""
-    met = symbols.join(file_islands(texts).withColumnRenamed("name", "_name"), (F.col("file_path") == F.col("path")) & (F.col("name") == F.col("_name")), "left")
+    met = symbols.join(file_islands(texts, signatures_only).withColumnRenamed("name", "_name"), (F.col("file_path") == F.col("path")) & (F.col("name") == F.col("_name")), "left")
     fields = lambda i: F.struct(F.coalesce(F.abs(i["start_line"] - F.col("start_line")), F.lit(0)).alias("far"), i["start_line"].alias("at"), i["end_line"].alias("end"), i["signature"].alias("signature"), i["doc"].alias("doc"), i["code"].alias("code"))
     met = met.withColumn("island", F.array_min(F.transform("found", fields))).drop("found", "path", "_name")
     return met.withColumn("signature", F.coalesce("signature", "island.signature"))
 
 
 def indexed_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The functions whose indexed documentation tells something, with ``description`` and ``island``."""
+    """The functions whose indexed documentation tells something, with ``description``."""
     documented = functions(nodes).filter(F.length(F.trim("docstring")) > 0)
-    return with_islands(documented, texts).withColumn("description", told("docstring", "name", "signature", "language")).filter("description <> ''")
+    return with_islands(documented, texts, signatures_only=True).withColumn("description", told("docstring", "name", "signature", "language")).filter("description <> ''")
 
 
 def code_description_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
