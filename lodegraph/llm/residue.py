@@ -2,9 +2,12 @@
 
 Three detectors over the prose of a text (fenced code, quoted code spans and code lines are taken out first):
 
-* slots: one grammar per delimiter finds unfilled placeholders; a slot inside quotes or in a sentence that
-  speaks about templates is an explanation and does not count;
-* filler: paragraphs of dummy Latin or of nothing but stock phrases;
+* slots: one grammar per delimiter finds unfilled placeholders.  A slot in code, inside quotes or in a sentence that
+  speaks about templates is shown, not left over.  Of a slot in running prose the density decides: where a text
+  shows ``SHOWN`` times as many slots as it has open ones, it teaches templates.  A slot that is a heading, a field's
+  value or a whole line stands where the text's own words should stand and counts whatever the density;
+* filler: paragraphs of dummy Latin (words of the classic passage among words of Latin make, without the function
+  words of a living language) or of nothing but stock phrases, and texts that say one short sentence over and over;
 * notices: texts of which every sentence is an error, block, script or removal notice, or the chrome around it.
 
 The work is one pass of pure Python per text behind an Arrow batch; there is no shuffle and no state, so the
@@ -50,9 +53,15 @@ DUMMY_LATIN = frozenset(
     "lorem ipsum dolor amet consectetur consectetuer adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat "
     "duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim est laborum curabitur pellentesque habitant morbi tristique "
     "senectus netus malesuada fames turpis egestas vestibulum tortor quam feugiat vitae ultricies eget tempus aliquet mauris placerat eleifend leo quisque sapien ullamcorper pharetra condimentum rutrum nunc facilisis luctus "
-    "metus ornare viverra tellus donec faucibus orci pulvinar lacus venenatis suscipit lectus ante dapibus diam posuere cubilia curae cras justo odio euismod semper porta integer nostrum limina solent parvus velor dorem gravim "
-    "integ quasim orbit crasto vernis moriat pentus feliat vultis saltum".split()
+    "metus ornare viverra tellus donec faucibus orci pulvinar lacus venenatis suscipit lectus ante dapibus diam posuere cubilia curae cras justo odio euismod semper porta integer nostrum".split()
 )
+LATIN_HINT = re.compile(r"\b(?:lorem|ipsum|dolor|amet|consectetu|adipiscing|eiusmod|incididunt|aliqu|nostru|ullamco|voluptat|cillum|pariatur|excepteur|occaecat|laborum|curabitur|pellentesque|vestibulum|feugiat|mauris|tempus|ultric|pulvinar|venenatis|euismod)")
+#: Endings of Latin words; few words of a living language without its function words have them throughout.
+LATIN_MADE = re.compile(r"[a-z]{2,}(?:um|us|am|em|im|is|os|as|es|it|at|et|nt|or|ur|ae|a|o|e|i)$")
+#: Least share of such words in dummy Latin, and of classic ones; most function words; fewest words.
+LATIN_SHARE, CLASSIC_SHARE, FUNCTION_SHARE, LATIN_WORDS = 0.7, 0.1, 0.12, 5
+#: A text that shows so many slots for each open one teaches templates.
+SHOWN = 3
 STOPWORDS = frozenset("the of and to in is for that with on as are this by from or be at an it der die das und ist le la les des et est el los las que una il che di para por um het een och att som 的 が を".split())
 STOCK = re.compile(
     r"^(?:(?:add|insert|put|enter|write|type|place|your|some|sample|dummy|example|placeholder|default|more|body|main|page|filler)\s+)*(?:your\s+)?(?:text|content|copy|description|title|words|paragraph|sentence|heading|placeholder|stuff)(?:\s+(?:goes\s+|to\s+go\s+|will\s+(?:go|be)\s+)?(?:here|text|content))?$|"
@@ -88,7 +97,7 @@ CHROME = re.compile(
     re.I,
 )
 REPORTS = re.compile(
-    r"\b(?:returns?|returned|raises?|raised|answers|responds?|crawlers?|clients?|handlers?|endpoints?|wrapped|skipped|rate limits?|we used to|retry only|status codes?|callers?|logs|logged|throws|catches|handled|parsers?|tests?|fix(?:ed|es)?|bug|changelog|documented|middleware|pollute)\b|^(?:added|fixed|changed|removed|deprecated|security)\s*:",
+    r"\b(?:returns?|returned|raises?|raised|answers|responds?|clients?|handlers?|endpoints?|wrapped|skipped|status codes?|callers?|logs|logged|throws|catches|handled|parsers?|tests?|fix(?:ed|es)?|bug|changelog|documented|middleware)\b|^(?:added|fixed|changed|removed|deprecated|security)\s*:",
     re.I,
 )
 JSON_CODE = re.compile(r"\"(?:status|code|statusCode|error_code|errno)\"\s*:\s*\"?[45]\d\d\b|\"(?:error|success|ok)\"\s*:\s*(?:true|false|\")")
@@ -106,13 +115,14 @@ FRAME = re.compile(r"\s+(?=at [\w.$/<>]+\(|#\d+ |File \\?\")")
 JSON_OTHER_WORDS = 90
 JSON_STRING = re.compile(r"\"((?:[^\"\\]|\\.)*)\"(\s*:)?")
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\1[^\n]*$|^[ \t]*(```+|~~~+)[^\n]*\n[\s\S]*\Z", re.M)
-SPAN = re.compile(r"(`+)(?!`)(?:[^`\n]|(?!\1)`){1,400}?\1")
-QUOTED = re.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|(?<!\w)'[^'\n]{1,80}'(?!\w)")
-MARKUP = re.compile(r"<(?!(?:your|my|insert|enter|add|put|the)[-_ ]|%)/?[a-z][^<>\n]{0,200}>")
+SPAN = re.compile(r"(`+)(?!`)(?:[^`\n]|(?!\1)`)+?\1")
+QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|(?<!\w)'[^'\n]+'(?!\w)")
+MARKUP = re.compile(r"<(?!(?:your|my|insert|enter|add|put|the)[-_ ]|%)/?[a-z][^<>\n]*>")
 CODE_LINE = re.compile(
     r"[;{}]\s*$|^\s*(?://|/\*|#!|--\s|@\w+\s*$)|^\s*(?:def|class|func|fn|pub|impl|let|const|var|return|if|for|while|import|from|use|package|public|private|static|export|async|end|else|elif|try|except|with|assert|raise|print|echo|export|struct|switch|case)\b.*[({:;=\])]\s*$|"
     r"^\s*[\w.\[\]\"'$]+\s*(?:=|\+=|-=|:=|<<)\s|^\s*[\w.]+\(.*\)\s*;?\s*$|^\s*[-\w]+:\s*\$\{\{|^\s*\$\s"
 )
+HEADING_OR_FIELD = re.compile(r"\s*(?:#{1,6}\s|=+\s|(?:[-*+>]\s+)?(?:\*\*|__)?[\w -]{1,40}:(?:\*\*|__)?\s*\S{0,3}(?:\{|\$|<|\[|%|@|#|_|X))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
 
@@ -128,25 +138,33 @@ def prose(text: str) -> str:
 
 
 def unfilled_slots(text: str) -> list[str]:
-    """The slots in prose that no explanation, quotation or code line accounts for."""
+    """The slots that stand where words of the text's own should stand."""
     if not SLOT_HINT.search(text):
         return []
-    found = []
+    placed, running, shown = [], [], 0
     block = False
-    for line in prose(text).split("\n"):
+    body = prose(text)
+    for line in body.split("\n"):
         bare = line.lstrip()
         inside, block = block, "*/" not in bare and (block or bare.startswith("/*"))
-        if not SLOT_HINT.search(line) or inside and bare.startswith("*"):
+        if not SLOT_HINT.search(line):
             continue
         slots = [m.group() for m in SLOT.finditer(line)]
         if not slots:
             continue
         rest = SLOT.sub(" ", line)
-        if CODE_LINE.search(rest) or EXPLAINS.search(rest):
+        if inside and bare.startswith("*") or CODE_LINE.search(rest) or EXPLAINS.search(rest):
+            shown += len(slots)
             continue
         quoted = " ".join(QUOTED.findall(line))
-        found += [s for s in slots if s not in quoted]
-    return found
+        open_ = [s for s in slots if s not in quoted]
+        shown += len(slots) - len(open_)
+        (placed if HEADING_OR_FIELD.match(line) or not WORD.search(rest) else running).extend(open_)
+    if running and not placed:
+        shown += sum(1 for _ in SLOT.finditer(text)) - sum(1 for _ in SLOT.finditer(body))  # those in fenced code and code spans
+        if shown >= SHOWN * len(running):
+            return []
+    return placed + running
 
 
 def repeated(text: str) -> str | None:
@@ -162,12 +180,22 @@ def repeated(text: str) -> str | None:
     return None
 
 
+def dummy_latin(body: str) -> bool:
+    """Whether a paragraph is made of Latin that says nothing."""
+    words = [w.lower() for w in WORD.findall(body)]
+    classic = [w for w in words if w in DUMMY_LATIN]
+    if len(words) < LATIN_WORDS or len(set(classic)) < 2 or len(classic) < CLASSIC_SHARE * len(words):
+        return False
+    made = sum(1 for w in words if w in DUMMY_LATIN or LATIN_MADE.match(w))
+    return made >= LATIN_SHARE * len(words) and sum(w in STOPWORDS for w in words) <= FUNCTION_SHARE * len(words)
+
+
 def filler_paragraphs(text: str) -> list[str]:
     """Paragraphs of dummy Latin, and of nothing but stock phrases (of more than one word; headings are none)."""
     if unit := repeated(text):
         return [unit]
     low = text.lower()
-    latin = "ipsum" in low or "lorem" in low or "dolor" in low or "tempus" in low or "amet" in low or "aliquet" in low
+    latin = LATIN_HINT.search(low) is not None
     if not latin and not STOCK_HINT.search(low):
         return []
     found = []
@@ -175,12 +203,9 @@ def filler_paragraphs(text: str) -> list[str]:
         body = paragraph.strip()
         if not body or body[0] == "#" and "\n" not in body:
             continue
-        if latin:
-            words = [w.lower() for w in WORD.findall(body)]
-            hits = sum(w in DUMMY_LATIN for w in words)
-            if hits >= 4 and hits >= 0.3 * len(words) and sum(w in STOPWORDS for w in words) <= 0.12 * len(words):
-                found.append(body)
-                continue
+        if latin and dummy_latin(body):
+            found.append(body)
+            continue
         parts = (s.strip(" .!:…\t*_>-。！？") for s in SENTENCES.split(body))
         said = False
         for s in parts:

@@ -1,6 +1,6 @@
 import pytest
 
-from lodegraph.llm.residue import residue, with_residue
+from lodegraph.llm.residue import dummy_latin, residue, unfilled_slots, with_residue
 
 SLOTS = ["# {{title}}\n\nWelcome to $!x.author.", "Maintained by [INSERT NAME HERE].", "Overview: <%= page.name %>", "# %%TITLE%%", "This is the home of ${PROJECT_NAME}.", "See __PAGE_AUTHOR__ now", "Limits: <your-project-url>", "# <VERSION GOES HERE>\n\nReal words follow here.", "By XXX_AUTHOR_XXX", "%(name)s is here", "[[page title]]", "Docs for #{lib.name}.", "@@HARBOR@@ rules", "# {% page.title %}",
          "The ${KILN_AUTHOR} of segment is kept in [INSERT VERSION HERE].\n\nMore real text about the matter follows here."]
@@ -77,3 +77,30 @@ def test_stars_are_code_only_in_comments():
     assert residue("# Notes\n\n* Author: {{author}}\n") == "slot"
     assert residue("**Title:** ${title}\n") == "slot"
     assert residue("/**\n * Author: {{author}}\n */\nint x;\n") is None
+
+
+@pytest.mark.parametrize("text", ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Curabitur vernatus placerat solvim, netus egestas portunum dolor amet.", "Quisque tempus fortarem elit gravatus, mauris lunatis orbitor vestibulum."])
+def test_dummy_latin_of_any_make(text):
+    assert dummy_latin(text) and residue("# Guide\n\nReal words of a real guide.\n\n" + text) == "filler"
+
+
+@pytest.mark.parametrize("text", ["The lorem ipsum text of the dolor amet page is gone.", "El texto de la página con lorem ipsum y dolor es para el autor.", "The tempus field holds an integer and the quam field a leo.", "Orbit status forum vertex format deposit data.", "lorem ipsum", "Gallia est omnis divisa in partes tres quarum unam incolunt Belgae."])
+def test_no_dummy_latin(text):
+    assert not dummy_latin(text)
+
+
+LESSON = "Templates are filled from the context. Write `{{ name }}` for a name and `{{ date }}` for a date.\n\n```\n{{ title }} by {{ author }}\n```\n\n"
+
+
+def test_density_tells_a_lesson_from_a_leftover():
+    assert residue(LESSON + "Then {{ title }} appears on the page.") is None  # five shown, one open in running prose
+    assert residue("Welcome all.\n\nThen {{ title }} appears on the page.") == "slot"
+    assert residue(LESSON + "# {{title}}\n\nReal words.") == "slot" and residue(LESSON + "Author: {{author}}") == "slot" and residue(LESSON + "{{body}}") == "slot"
+    assert len(unfilled_slots("The {{a}} and the {{b}} of it.\n\nAuthor: ${owner}")) == 3
+
+
+@pytest.mark.parametrize("n", [10, 390, 410, 5000])
+def test_spans_quotes_and_tags_of_any_length(n):
+    assert residue("It shows `" + "x" * n + " {{ name }}` as it is, and more follows.") is None
+    assert residue('It shows "' + "x" * n + ' {{ name }}" as it is, and more follows.') is None
+    assert residue('<div class="' + "x" * n + '">404 Not Found</div>') == "notice"
