@@ -40,12 +40,16 @@ from lodegraph.plans.storage import Workspace
 Q, BAND = 12, 32
 #: A passage has this many words, of which one in so many may differ.
 PASSAGE_WORDS, EDIT_SHARE = 20, 8
+#: Words of the longest passage that the bound looks at.
+LONGEST = 24
 #: Exact runs further apart than this belong to different pieces; pieces with fewer exact words than this are no evidence.
 GAP_BYTES, PIECE_WORDS = 96, 3
 #: Words by which a piece is continued word for word at either end, where runs are too short for a q-gram.
 REACH = 12
 #: Most bytes of items in one block, of documents hashed at once, and of hits expanded at once.
-BLOCK_CHARS, CHUNK, EXPANDED = 8_000_000, 4_000_000, 8_000_000
+BLOCK_CHARS, CHUNK, EXPANDED = 8_000_000, 1_000_000, 8_000_000
+#: Most pairs of documents and items that are counted in one array.
+COUNTED = 8_000_000
 
 _LOWER = bytes(ord(chr(i).lower()) if i < 128 else i for i in range(256))
 _DROP = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -119,21 +123,66 @@ def item_stream(question: str | None, answer: str | None) -> tuple[bytes, list[i
     return data, ends
 
 
-def lemma_bounds(ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte of an item's stream: the least number of q-grams that a passage of ``PASSAGE_WORDS`` words around it keeps within its
-    edit budget, cut in two; and the end of the passage that starts with the byte's word."""
-    lengths = np.diff(np.array([0, *ends]))
-    n, edits = len(lengths), PASSAGE_WORDS // EDIT_SHARE
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kept = []
-    for w in range(max(1, n - PASSAGE_WORDS + 1)):
-        window = lengths[w : w + PASSAGE_WORDS]
-        kept.append(max(1, int(window.sum() - 2 * (Q - 1) - (Q - 1 + np.sort(window)[-edits:]).sum())))
-    # the passages that hold a word start up to PASSAGE_WORDS - 1 words before it
-    least = np.array([min(kept[max(0, w - PASSAGE_WORDS + 1) : w + 1] or kept[-PASSAGE_WORDS:]) for w in range(n)])
-    until = np.array(ends)[np.minimum(np.arange(n) + PASSAGE_WORDS, n) - 1]
-    return np.repeat(least, lengths), np.repeat(until, lengths)
+#: More q-grams than any place can need: of items too short to hold a passage.
+NEVER = 1 << 30
+
+
+def _windows(lengths: np.ndarray, size: int, spared: int) -> np.ndarray:
+    """Sums of all runs of ``size`` words without their ``spared`` longest; runs that start late are shorter."""
+    padded = np.concatenate((lengths, np.zeros(size - 1, np.int64)))
+    runs = np.lib.stride_tricks.sliding_window_view(padded, size)
+    return runs.sum(1) - (np.partition(runs, size - spared, 1)[:, size - spared :].sum(1) if 0 < spared < size else runs.sum(1) if spared else 0)
+
+
+def hidden_words(ends: list[int]) -> np.ndarray:
+    """Per word (rows): how many words before it, and from it on, one and two faults can hide from q-grams (columns before1, before2, after1, after2).
+
+    Between faults lie runs too short for a q-gram: with f faults at most f runs of Q - 1 bytes and f words of any length.
+    """
+    lengths = np.diff(np.array([0, *ends], np.int64))
+    n = len(lengths)
+    out = np.zeros((n + 1, 4), np.int64)
+    for column, (words, edits) in enumerate(((lengths[::-1], 1), (lengths[::-1], 2), (lengths, 1), (lengths, 2))):
+        most = np.zeros(n, np.int64)
+        for x in range(1, min(REACH, n) + 1):
+            fits = _windows(words, x, min(edits, x)) <= edits * (Q - 1)
+            fits &= np.arange(n) + x <= n
+            if not fits.any():
+                break
+            most[fits] = x
+        out[:n, column] = most
+        if column < 2:
+            out[:, column] = np.concatenate(([0], most[::-1]))
+    return out
+
+
+def lemma_bounds(ends: list[int], hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per byte of an item's stream: the least number of different q-grams that a passage keeps whose first shared q-gram starts
+    there, the same of any passage that holds the place, and the end of the longest passage from there.
+
+    A passage has ``PASSAGE_WORDS`` words, its edit budget of words that differ and one cut.  Each edited word destroys
+    Q - 1 q-grams and as many as it has letters, the cut and the end Q - 1; edits may hide its first words (``hidden``),
+    and the first q-gram may start within a word that is edited.
+    """
+    lengths = np.diff(np.array([0, *ends], np.int64))
+    n = len(lengths)
+    if n < PASSAGE_WORDS:
+        never = np.full(int(lengths.sum()), NEVER, np.int64)
+        return never, never, np.zeros_like(never)
+    least, at = np.full(n, NEVER, np.int64), np.arange(n)
+    # Each further fault needs EDIT_SHARE words; longer passages hold one of these sizes within their budget.
+    for size in (PASSAGE_WORDS, *range(PASSAGE_WORDS // EDIT_SHARE * EDIT_SHARE + EDIT_SHARE, LONGEST + 1, EDIT_SHARE)):
+        edits = size // EDIT_SHARE
+        for start in range(REACH + 1):
+            for f in range(min(edits, 2) + 1):
+                may = (hidden[:n, f - 1] >= start if f else np.full(n, True)) & (at >= start) & (at + size - start <= n)
+                if (f == 0) == (start == 0) and may.any():
+                    kept = _windows(lengths, size - start, edits - f) - (Q - 1) * (2 + edits - f)
+                    least = np.where(may, np.minimum(least, kept), least)
+    least = np.maximum(1, np.minimum(least, np.append(least[1:], NEVER)))
+    until = np.array(ends)[np.minimum(at + LONGEST, n - 1)]
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(LONGEST - 1, NEVER, np.int64), least)), LONGEST).min(1)
+    return np.repeat(least, lengths), np.repeat(around, lengths), np.repeat(until, lengths)
 
 
 def _power(k: int) -> np.uint64:
@@ -157,13 +206,15 @@ class ItemIndex:
     """Q-grams of a block of items: sorted hashes with their (item, position) lists, and a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str | None, str | None]]):
-        self.items, self._halves, self._hidden = items, None, {}
+        self.items, self._halves = items, None
         self.ids = [i for i, _, _ in items]
         streams = [item_stream(q, a) for _, q, a in items]
         self.bytes, self.ends = [s for s, _ in streams], [e for _, e in streams]
-        places = [lemma_bounds(e) for e in self.ends]
+        self.hidden = [hidden_words(e) for e in self.ends]
+        places = [lemma_bounds(e, h) for e, h in zip(self.ends, self.hidden)]
         self.offset = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes]))).astype(np.int64)
-        self.need, self.until = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*places)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.need, self.around, self.until = (np.concatenate(x) for x in zip(*places)) if places else (np.zeros(0, np.int64),) * 3
+        self.least = np.array([p[0].min() if len(p[0]) else NEVER for p in places], np.int64)
         grams = [qgrams(np.frombuffer(s, np.uint8)) for s in self.bytes]
         sizes = [len(g) for g in grams]
         keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -171,16 +222,11 @@ class ItemIndex:
         self.item = np.repeat(np.arange(len(grams), dtype=np.int32), sizes)[order]
         self.at = (np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32))[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.key_need = np.minimum.reduceat(self.need[self.offset[self.item] + self.at], self.first) if len(self.keys) else np.zeros(0, np.int64)
+        self.key_need = np.minimum.reduceat(self.around[self.offset[self.item] + self.at], self.first) if len(self.keys) else np.zeros(0, np.int64)
         self.shift = np.uint64(64 - 24)
         self.table = np.zeros(1 << 24, np.bool_)
         self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
-    def hidden(self, k: int) -> tuple:
-        if k not in self._hidden:
-            self._hidden[k] = hidden_words(self.ends[k])
-        return self._hidden[k]
-
     def halves(self) -> list[ItemIndex]:
         if self._halves is None:
             middle = len(self.items) // 2
@@ -215,25 +261,36 @@ class ItemIndex:
                     yield from half._pairs(where[good], at[good], h, starts)
             return
         start = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(total)
-        position, item, at = np.repeat(where, times), self.item[start], self.at[start].astype(np.int64)
-        document = np.searchsorted(starts, position, "right") - 1
+        item = self.item[start]
+        document = np.repeat(np.searchsorted(starts, where, "right") - 1, times)
         pair = document * len(self.items) + item
-        need = self.need[self.offset[item] + at]
-        # Overlapping bands: cells of BAND diagonals, each counted with either neighbour, must hold half of what some of their places need.
+        position = np.repeat(where, times)
+        if len(starts) * len(self.items) <= COUNTED:
+            mine = np.bincount(pair, minlength=len(starts) * len(self.items))[pair] >= self.least[item]
+            start, position, item, document, pair = start[mine], position[mine], item[mine], document[mine], pair[mine]
+        at = self.at[start].astype(np.int64)
+        if not len(at):
+            return
+        need = self.around[self.offset[item] + at]
+        # Overlapping bands: cells of BAND diagonals, each counted with its neighbours.  A passage has at most two pieces, each in one
+        # such band (edits within the budget shift it less), so the two fullest bands of a pair must hold what some place needs.
         cell = pair * (1 << 27) + ((position - starts[document] - at) // BAND + (1 << 26))
         order = np.argsort(cell, kind="stable")
         cells, first, n = np.unique(cell[order], return_index=True, return_counts=True)
         least = np.minimum.reduceat(need[order], first)
-        after = np.concatenate((np.where(np.diff(cells) == 1, n[1:], 0), [0]))
-        before = np.concatenate(([0], np.where(np.diff(cells) == 1, n[:-1], 0)))
-        full = 2 * (n + np.maximum(after, before)) >= least
-        mine = np.isin(pair, np.unique(cells[full] >> 27))
-        position, document, item, at, pair, need = position[mine], document[mine], item[mine], at[mine], pair[mine], need[mine]
+        pairs, begin, size = np.unique(cells >> 27, return_index=True, return_counts=True)
+        near = np.diff(cells) == 1
+        full = n + np.concatenate((np.where(near, n[1:], 0), [0])) + np.concatenate(([0], np.where(near, n[:-1], 0)))
+        most = np.maximum.reduceat(full, begin)
+        fullest = np.maximum.reduceat(np.where(full == np.repeat(most, size), cells, 0), begin)
+        second = np.maximum.reduceat(np.where(np.abs(cells - np.repeat(fullest, size)) > 2, full, 0), begin)
+        mine = np.isin(pair, pairs[most + second >= np.minimum.reduceat(least, begin)])
+        position, document, item, at, pair = position[mine], document[mine], item[mine], at[mine], pair[mine]
         # A passage that starts at a shared q-gram's word holds as many different ones as its place needs.
         spot = pair * (1 << 32) + at
         spots, first = np.unique(spot, return_index=True)
-        ends = (spots >> 32 << 32) + self.until[self.offset[item[first]] + at[first]]
-        enough = np.searchsorted(spots, ends) - np.arange(len(spots)) >= need[first]
+        place = self.offset[item[first]] + at[first]
+        enough = np.searchsorted(spots, (spots >> 32 << 32) + self.until[place]) - np.arange(len(spots)) >= self.need[place]
         mine = np.isin(pair, np.unique(spots[enough] >> 32))
         yield self, position[mine], document[mine], item[mine], at[mine]
 
@@ -287,7 +344,10 @@ def faults(item: bytes, ends: list[int], document: bytes, document_ends: Callabl
     if by_bytes < 2:
         return by_bytes
     theirs = document_ends()
-    return min(by_bytes, differing(_words(item, ends, *mine), _words(document, theirs, *_touched(theirs, d0, d1))))
+    a, b = _words(item, ends, *mine), _words(document, theirs, *_touched(theirs, d0, d1))
+    apart = max(len(a), len(b)) - len(set(a) & set(b)) if len(set(a)) == len(a) else 0
+    # So many faults in one gap are in no passage: what lies on one side of them would be one.
+    return min(by_bytes, apart if apart >= EDIT_SHARE else differing(a, b))
 
 
 def chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -329,32 +389,19 @@ def continued(mine: list[bytes], theirs: list[bytes]) -> list[int]:
     return out
 
 
-def hidden_words(ends: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Per word: how many words before it, and from it on, one and two faults can hide from q-grams.
-
-    Between faults lie runs too short for a q-gram: with f faults at most f runs of Q - 1 bytes and f words of any length.
-    """
-    lengths = [b - a for a, b in zip([0, *ends], ends)]
-
-    def most(words: list[int], edits: int) -> int:
-        x = 0
-        while x < len(words) and sum(sorted(words[: x + 1])[: max(0, x + 1 - edits)]) <= edits * (Q - 1):
-            x += 1
-        return x
-
-    before = [lengths[max(0, w - REACH) : w][::-1] for w in range(len(lengths) + 1)]
-    after = [lengths[w : w + REACH] for w in range(len(lengths) + 1)]
-    return tuple([most(words, f) for words in side] for side in (before, after) for f in (1, 2))
-
-
 class Passages:
     """The best passage that the exact runs of one document and item make up."""
 
-    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: tuple | None = None):
+    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: np.ndarray, around: np.ndarray):
         self.item, self.ends, self.document, self.document_ends = item, ends, document, document_ends
-        self.before1, self.before2, self.after1, self.after2 = hidden or hidden_words(ends)
+        self.around = around.tolist()
+        self.before1, self.before2, self.after1, self.after2 = hidden.T.tolist()
         self.known: dict[tuple[bool, int, int], list[int]] = {}
 
+    def ends_meet(self, first: int, last: int, wrong: int, begin: int, end: int) -> int:
+        """Words of a stretch with its best continuations."""
+        return self.best(last - first, wrong, self.back(first, begin), self.ahead(last, end)) if self.may_be(first, last, wrong) else 0
+
     def ahead(self, word: int, position: int) -> list[int]:
         """Faults of going on at item word ``word`` and document byte ``position``."""
         key = (True, word, position)
@@ -381,8 +428,12 @@ class Passages:
 
     def may_be(self, first: int, last: int, wrong: int) -> bool:
         """Whether words [first, last) with so many faults can be a passage together with what q-grams do not show at their ends."""
-        most = last - first + max(self.before2[first], self.after2[last], self.before1[first] + self.after1[last])
-        return most >= PASSAGE_WORDS and wrong * EDIT_SHARE <= most
+        hidden = max(self.before2[first], self.after2[last], self.before1[first] + self.after1[last])
+        left = (last - first + hidden) // EDIT_SHARE - wrong  # faults that the budget leaves for the ends; none hides nothing
+        if left < 2:
+            hidden = max(self.before1[first], self.after1[last]) if left == 1 else 0
+        return left >= 0 and last - first + hidden >= PASSAGE_WORDS
+
 
     def anchors(self, first: int, last: int) -> list[tuple[int, int, int]]:
         """Exact places in the document of three words in a row that follow or precede words [first, last): runs too short for a q-gram."""
@@ -422,13 +473,26 @@ class Passages:
                 top = max(top, self.searched(_merged([*runs, *more]))[0])
         return top
 
+    def enough(self, pieces: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """The pieces that hold the q-grams a passage needs at their place, alone or with one next to them in the item, or half of its words."""
+        held: dict[tuple[int, int], int] = {}
+        for piece in pieces:
+            where = piece[0][1], piece[-1][1] + piece[-1][2]
+            held[where] = max(held.get(where, 0), sum(max(1, n - Q + 1) for _, _, n in piece))
+        need = {where: min(self.around[where[0] : where[1]], default=0) for where in held}
+        good = {where for where, grams in held.items() if grams >= need[where] or bisect_right(self.ends, where[1]) - bisect_left(self.ends, where[0]) >= PASSAGE_WORDS // 2}
+        places = sorted(held)
+        starts = [a for a, _ in places]
+        for a in places:
+            for b in places[bisect_left(starts, a[1] - 2 * GAP_BYTES) : bisect_right(starts, a[1] + 2 * GAP_BYTES)]:
+                if held[a] + held[b] >= min(need[a], need[b]):
+                    good |= {a, b}
+        return [piece for piece in pieces if (piece[0][1], piece[-1][1] + piece[-1][2]) in good]
+
     def searched(self, runs: list[tuple[int, int, int]]) -> tuple[int, tuple[int, int] | None]:
         """The best passage over ``runs``, and the longest stretch that may be a half of one."""
         ends = self.ends
-        together = chains(runs)
-        reach = sorted(bisect_right(ends, piece[-1][1] + piece[-1][2]) - bisect_left(ends, piece[0][1]) for piece in together)
-        if sum(reach[-2:]) < PASSAGE_WORDS // 2:
-            return 0, None
+        together = self.enough(chains(runs))
         top, half = 0, (0, 0)
         pieces: list[list[tuple[int, int, int, int, int]]] = []  # (first word, last word, begin and end in the document, faults)
         for piece in together:
@@ -453,13 +517,12 @@ class Passages:
                             half = first, last
             if spans:
                 pieces.append(spans)
-        half = half if half[1] - half[0] >= PASSAGE_WORDS // 2 - PASSAGE_WORDS // EDIT_SHARE else None
+        half = half if half[1] - half[0] >= PASSAGE_WORDS // 2 else None
         if top >= PASSAGE_WORDS:
             return top, half
         for spans in pieces:
             for first, last, begin, end, wrong in spans:
-                if self.may_be(first, last, wrong):
-                    top = max(top, self.best(last - first, wrong, self.back(first, begin), self.ahead(last, end)))
+                top = max(top, self.ends_meet(first, last, wrong, begin, end))
         if top >= PASSAGE_WORDS or len(pieces) < 2:
             return top, half
         # Two pieces: one goes on, a few words on or over, where the other ends; the budget holds for both together.
@@ -531,7 +594,7 @@ def found_in(index: ItemIndex, ids: list[int], texts: list[str | None]) -> Itera
                 if low == high:
                     continue
                 k, d = int(item[low]), int(document[low])
-                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden(k)).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
+                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden[k], part.around[part.offset[k] : part.offset[k + 1]]).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
                 if words >= PASSAGE_WORDS:
                     yield ids[begin + d], part.ids[k], words
         begin += len(streams)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lodegraph.llm import leakage
-from lodegraph.llm.leakage import PASSAGE_WORDS, Q, ItemIndex, differing, found_in, item_blocks, item_stream, leaked_passages, lemma_bounds, qgrams, stream, word_ends
+from lodegraph.llm.leakage import PASSAGE_WORDS, Q, ItemIndex, differing, found_in, hidden_words, item_blocks, item_stream, leaked_passages, lemma_bounds, qgrams, stream, word_ends
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(RNG.randint(2, 9))) for _ in range(3000)]
@@ -139,26 +139,30 @@ def test_budget_is_kept_to_the_word():
     assert not out(q20[:14]) and not out([long if k in (4, 8, 12, 16) else w for k, w in enumerate(q20)])
 
 
-def test_lemma_bounds_hold():
-    """No passage within the budget keeps fewer q-grams than the bound at its first word says."""
+@pytest.mark.parametrize("vocabulary", [WORDS, ["".join(RNG.choice("abcdef") for _ in range(RNG.randint(1, 4))) for _ in range(500)]])
+def test_lemma_bounds_hold(vocabulary):
+    """No passage within the budget keeps fewer q-grams than the bound at the first of them says."""
     rng = random.Random(5)
-    source = [rng.choice(WORDS) for _ in range(60)]
-    data, ends = item_stream(" ".join(source), None)
-    need, until = lemma_bounds(ends)
-    assert len(need) == len(until) == len(data) and until[0] == ends[PASSAGE_WORDS - 1] and until[-1] == len(data)
-    for _ in range(300):
+    data, ends = item_stream(" ".join(rng.choice(vocabulary) for _ in range(60)), None)
+    source = [data[a:b] for a, b in zip([0, *ends], ends)]
+    need, around, until = lemma_bounds(ends, hidden_words(ends))
+    assert len(need) == len(around) == len(until) == len(data) and all(around <= need) and until[-1] == len(data) and need[0] < leakage.NEVER
+    for _ in range(500):
         at = rng.randint(0, 40)
         edited = set(rng.sample(range(20), 2))
         cut = rng.randint(1, 19)
-        runs, run = [], b""
-        for k in range(20):
-            if k in edited or k == cut:
-                runs.append(run)
-                run = b""
-            if k not in edited:
-                run += source[at + k].encode()
-        kept = sum(max(0, len(r) - Q + 1) for r in [*runs, run])
-        assert kept >= need[ends[at - 1] if at else 0] or need[ends[at - 1] if at else 0] == 1
+        kept, run = [], []
+        for k in range(21):
+            if k == 20 or k in edited or k == cut:
+                if run:
+                    begin, end = ends[run[0] - 1] if run[0] else 0, ends[run[-1]]
+                    kept += range(begin, end - Q + 1)
+                run = []
+            if k < 20 and k not in edited:
+                run.append(at + k)
+        assert not kept or sum(x < until[kept[0]] for x in kept) >= need[kept[0]] and all(around[x] <= need[kept[0]] for x in kept)
+    short = item_stream(" ".join(source[0].decode() for _ in range(19)), None)[1]
+    assert set(lemma_bounds(short, hidden_words(short))[0]) == {leakage.NEVER} and hidden_words([]).shape == (1, 4)
 
 
 def test_boilerplate_of_all_items_is_expanded_in_parts(monkeypatch):
