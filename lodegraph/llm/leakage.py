@@ -10,8 +10,8 @@ runs are aligned within a band to count what differs.  Nothing depends on what o
 
 Scale: documents are read once per block of items and never shuffled before a match is found; a document or a
 stretch of boilerplate that occurs often costs its own task only.  The items are the stated query set.  They are
-read one block of at most ``BLOCK_CHARS`` characters at a time; a block goes to the tasks, whose workers index it
-once; further blocks are further passes, each written before the next is read.  Where boilerplate of all items
+read one block of at most ``BLOCK_CHARS`` characters at a time; a block is indexed once and its index, of bounded size,
+goes to the tasks; further blocks are further passes, each written before the next is read.  Where boilerplate of all items
 fills a document, its hits are expanded for a part of the items at a time.
 
 Nulls: null ids are ignored; null or empty texts contain nothing.  Repeated rows give the pair once.  An item
@@ -23,7 +23,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -47,7 +46,7 @@ GAP_BYTES, PIECE_WORDS = 96, 3
 #: Words by which a piece is continued word for word at either end, where runs are too short for a q-gram.
 REACH = 12
 #: Most bytes of items in one block, of documents hashed at once, and of hits expanded at once.
-BLOCK_CHARS, CHUNK, EXPANDED = 8_000_000, 1_000_000, 8_000_000
+BLOCK_CHARS, CHUNK, EXPANDED = 2_000_000, 1_000_000, 8_000_000
 #: Most pairs of documents and items that are counted in one array.
 COUNTED = 8_000_000
 
@@ -174,7 +173,7 @@ def lemma_bounds(ends: list[int], hidden: np.ndarray) -> tuple[np.ndarray, np.nd
     for size in (PASSAGE_WORDS, *range(PASSAGE_WORDS // EDIT_SHARE * EDIT_SHARE + EDIT_SHARE, LONGEST + 1, EDIT_SHARE)):
         edits = size // EDIT_SHARE
         for start in range(REACH + 1):
-            for f in range(min(edits, 2) + 1):
+            for f in range(min(edits, 2) + 1 if size == PASSAGE_WORDS else 1):
                 may = (hidden[:n, f - 1] >= start if f else np.full(n, True)) & (at >= start) & (at + size - start <= n)
                 if (f == 0) == (start == 0) and may.any():
                     kept = _windows(lengths, size - start, edits - f) - (Q - 1) * (2 + edits - f)
@@ -206,7 +205,7 @@ class ItemIndex:
     """Q-grams of a block of items: sorted hashes with their (item, position) lists, and a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str | None, str | None]]):
-        self.items, self._halves = items, None
+        self.items, self._halves, self._needs = items, None, {}
         self.ids = [i for i, _, _ in items]
         streams = [item_stream(q, a) for _, q, a in items]
         self.bytes, self.ends = [s for s, _ in streams], [e for _, e in streams]
@@ -223,10 +222,26 @@ class ItemIndex:
         self.at = (np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32))[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.key_need = np.minimum.reduceat(self.around[self.offset[self.item] + self.at], self.first) if len(self.keys) else np.zeros(0, np.int64)
+        self._tabulate()
+
+    def _tabulate(self) -> None:
         self.shift = np.uint64(64 - 24)
         self.table = np.zeros(1 << 24, np.bool_)
         self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tabulate()
+
+    def needs(self, k: int) -> list[int]:
+        """Needs of an item's places, as a list; those of the items met are kept."""
+        if k not in self._needs:
+            self._needs[k] = self.need[self.offset[k] : self.offset[k + 1]].tolist()
+        return self._needs[k]
+
     def halves(self) -> list[ItemIndex]:
         if self._halves is None:
             middle = len(self.items) // 2
@@ -392,9 +407,9 @@ def continued(mine: list[bytes], theirs: list[bytes]) -> list[int]:
 class Passages:
     """The best passage that the exact runs of one document and item make up."""
 
-    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: np.ndarray, around: np.ndarray):
+    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: np.ndarray, need: list[int]):
         self.item, self.ends, self.document, self.document_ends = item, ends, document, document_ends
-        self.around = around.tolist()
+        self.need = need
         self.before1, self.before2, self.after1, self.after2 = hidden.T.tolist()
         self.known: dict[tuple[bool, int, int], list[int]] = {}
 
@@ -476,16 +491,17 @@ class Passages:
     def enough(self, pieces: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """The pieces that hold the q-grams a passage needs at their place, alone or with one next to them in the item, or half of its words."""
         held: dict[tuple[int, int], int] = {}
+        need: dict[tuple[int, int], int] = {}
         for piece in pieces:
             where = piece[0][1], piece[-1][1] + piece[-1][2]
+            need[where] = min(need.get(where, NEVER), *(self.need[i] for _, i, _ in piece))
             held[where] = max(held.get(where, 0), sum(max(1, n - Q + 1) for _, _, n in piece))
-        need = {where: min(self.around[where[0] : where[1]], default=0) for where in held}
         good = {where for where, grams in held.items() if grams >= need[where] or bisect_right(self.ends, where[1]) - bisect_left(self.ends, where[0]) >= PASSAGE_WORDS // 2}
         places = sorted(held)
         starts = [a for a, _ in places]
         for a in places:
             for b in places[bisect_left(starts, a[1] - 2 * GAP_BYTES) : bisect_right(starts, a[1] + 2 * GAP_BYTES)]:
-                if held[a] + held[b] >= min(need[a], need[b]):
+                if a is not b and held[a] + held[b] >= min(need[a], need[b]):
                     good |= {a, b}
         return [piece for piece in pieces if (piece[0][1], piece[-1][1] + piece[-1][2]) in good]
 
@@ -594,7 +610,7 @@ def found_in(index: ItemIndex, ids: list[int], texts: list[str | None]) -> Itera
                 if low == high:
                     continue
                 k, d = int(item[low]), int(document[low])
-                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden[k], part.around[part.offset[k] : part.offset[k + 1]]).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
+                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden[k], part.needs(k)).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
                 if words >= PASSAGE_WORDS:
                     yield ids[begin + d], part.ids[k], words
         begin += len(streams)
@@ -614,9 +630,6 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str |
         yield block
 
 
-#: The index that this worker process built last, by the name of its block.
-_BUILT: dict[str, ItemIndex] = {}
-
 FOUND = "doc_id bigint, item_id bigint, n_words int"
 
 
@@ -628,15 +641,12 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     block = next(blocks, None)
     space, n, out = None, 0, None
     while block is not None:
-        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        sent = spark.sparkContext.broadcast(ItemIndex(block))  # about 30 bytes for each of at most BLOCK_CHARS characters
         following = next(blocks, None)
 
-        def search(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
-            if name not in _BUILT:
-                _BUILT.clear()
-                _BUILT[name] = ItemIndex(sent.value)
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame(found_in(_BUILT[name], batch["doc_id"].tolist(), batch["text"].tolist()), columns=["doc_id", "item_id", "n_words"])
+                yield pd.DataFrame(found_in(sent.value, batch["doc_id"].tolist(), batch["text"].tolist()), columns=["doc_id", "item_id", "n_words"])
 
         out = texts.mapInPandas(search, FOUND)
         if following is not None or n:
