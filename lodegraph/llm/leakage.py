@@ -205,14 +205,14 @@ class ItemIndex:
     """Q-grams of a block of items: sorted hashes with their (item, position) lists, and a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str | None, str | None]]):
-        self.items, self._halves, self._needs = items, None, {}
+        self.items, self._halves, self._places = items, None, {}
         self.ids = [i for i, _, _ in items]
         streams = [item_stream(q, a) for _, q, a in items]
         self.bytes, self.ends = [s for s, _ in streams], [e for _, e in streams]
         self.hidden = [hidden_words(e) for e in self.ends]
         places = [lemma_bounds(e, h) for e, h in zip(self.ends, self.hidden)]
         self.offset = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes]))).astype(np.int64)
-        self.need, self.around, self.until = (np.concatenate(x) for x in zip(*places)) if places else (np.zeros(0, np.int64),) * 3
+        self.need, self.around, self.until = (np.concatenate(x).astype(np.int32) for x in zip(*places)) if places else (np.zeros(0, np.int32),) * 3
         self.least = np.array([p[0].min() if len(p[0]) else NEVER for p in places], np.int64)
         grams = [qgrams(np.frombuffer(s, np.uint8)) for s in self.bytes]
         sizes = [len(g) for g in grams]
@@ -236,11 +236,11 @@ class ItemIndex:
         self.__dict__.update(state)
         self._tabulate()
 
-    def needs(self, k: int) -> list[int]:
-        """Needs of an item's places, as a list; those of the items met are kept."""
-        if k not in self._needs:
-            self._needs[k] = self.need[self.offset[k] : self.offset[k + 1]].tolist()
-        return self._needs[k]
+    def places(self, k: int) -> tuple[list[list[int]], list[int]]:
+        """Hidden words and needs of an item's places, as lists; those of the items met are kept."""
+        if k not in self._places:
+            self._places[k] = self.hidden[k].T.tolist(), self.need[self.offset[k] : self.offset[k + 1]].tolist()
+        return self._places[k]
 
     def halves(self) -> list[ItemIndex]:
         if self._halves is None:
@@ -310,15 +310,23 @@ class ItemIndex:
         yield self, position[mine], document[mine], item[mine], at[mine]
 
 
-def exact_runs(position: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal exact runs (document start, item start, length) of one document and item."""
+def exact_runs(position: np.ndarray, document: np.ndarray, item: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(document, item, runs) of every pair: its maximal exact runs as (document start, item start, length), in order of the document."""
+    if not len(position):
+        return
     diagonal = position - at
-    order = np.lexsort((position, diagonal))
-    position, at, diagonal = position[order], at[order], diagonal[order]
-    new = np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(position) != 1)))
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.concatenate((starts, [len(position)]))) + Q - 1
-    return sorted((int(position[s]), int(at[s]), int(n)) for s, n in zip(starts, lengths))
+    order = np.lexsort((position, diagonal, item, document))
+    position, document, item, at, diagonal = position[order], document[order], item[order], at[order], diagonal[order]
+    pair = (np.diff(document) != 0) | (np.diff(item) != 0)
+    starts = np.flatnonzero(np.concatenate(([True], pair | (np.diff(diagonal) != 0) | (np.diff(position) != 1))))
+    lengths = np.diff(np.append(starts, len(position))) + Q - 1
+    document, item, position, at = document[starts], item[starts], position[starts], at[starts]
+    order = np.lexsort((lengths, at, position, item, document))
+    document, item = document[order], item[order]
+    rows = list(zip(position[order].tolist(), at[order].tolist(), lengths[order].tolist()))
+    cuts = (np.flatnonzero((np.diff(document) != 0) | (np.diff(item) != 0)) + 1).tolist()
+    for low, high in zip([0, *cuts], [*cuts, len(rows)]):
+        yield int(document[low]), int(item[low]), rows[low:high]
 
 
 def differing(a: list[bytes], b: list[bytes]) -> int:
@@ -407,10 +415,10 @@ def continued(mine: list[bytes], theirs: list[bytes]) -> list[int]:
 class Passages:
     """The best passage that the exact runs of one document and item make up."""
 
-    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: np.ndarray, need: list[int]):
+    def __init__(self, item: bytes, ends: list[int], document: bytes, document_ends: Callable[[], list[int]], hidden: list[list[int]], need: list[int]):
         self.item, self.ends, self.document, self.document_ends = item, ends, document, document_ends
         self.need = need
-        self.before1, self.before2, self.after1, self.after2 = hidden.T.tolist()
+        self.before1, self.before2, self.after1, self.after2 = hidden
         self.known: dict[tuple[bool, int, int], list[int]] = {}
 
     def ends_meet(self, first: int, last: int, wrong: int, begin: int, end: int) -> int:
@@ -603,14 +611,8 @@ def found_in(index: ItemIndex, ids: list[int], texts: list[str | None]) -> Itera
             return known[d]
 
         for part, position, document, item, at in index.shared(b"\0".join(streams), starts):
-            order = np.lexsort((item, document))
-            position, document, item, at = position[order], document[order], item[order], at[order]
-            cuts = np.flatnonzero((np.diff(document) != 0) | (np.diff(item) != 0)) + 1
-            for low, high in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(position)]))):
-                if low == high:
-                    continue
-                k, d = int(item[low]), int(document[low])
-                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), part.hidden[k], part.needs(k)).longest(exact_runs(position[low:high] - starts[d], at[low:high]))
+            for d, k, runs in exact_runs(position - starts[document], document, item, at):
+                words = Passages(part.bytes[k], part.ends[k], streams[d], partial(ends_of, d), *part.places(k)).longest(runs)
                 if words >= PASSAGE_WORDS:
                     yield ids[begin + d], part.ids[k], words
         begin += len(streams)
