@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodegraph.functions.names import segments, tokens
@@ -85,27 +85,86 @@ def _columns(nodes: DataFrame) -> DataFrame:
     return split.withColumn("length", length)
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(id, token, tf): weighted frequency of every token of every symbol, and ``length``, the symbol's token count."""
-    rows = _columns(nodes).select("id", "length", F.explode(F.concat(*[_weighted(F.col(f"t_{c}"), w) for c, w in WEIGHTS.items()])).alias("t"))
+def _postings(split: DataFrame, query_terms: list[str] | None = None) -> DataFrame:
+    """(id, token, tf, length) of the tokens that start with a term, or of all; filtered within the arrays, before anything is exploded."""
+    wanted = lambda x: sum_or(*[x.startswith(t) for t in query_terms])
+    lists = [_weighted(F.filter(f"t_{c}", wanted) if query_terms else F.col(f"t_{c}"), w) for c, w in WEIGHTS.items()]
+    rows = split.select("id", "length", F.explode(F.concat(*lists)).alias("t"))
     return rows.groupBy("id", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("tf"), F.max("length").alias("length"))
 
 
+def postings(nodes: DataFrame) -> DataFrame:
+    """(id, token, tf, length): weighted frequency of every token of every symbol, and the symbol's token count."""
+    return _postings(_columns(nodes))
+
+
 def bm25(nodes: DataFrame, query_terms: list[str]) -> DataFrame:
-    """(id, score) of the symbols with a token that starts with a term.
+    """(id, score) of the symbols with a token that starts with a term, from the symbols themselves in one pass over them."""
+    seen = Observation()
+    split = _columns(nodes).observe(seen, F.count(F.when(F.col("length") > 0, 1)).alias("n_all"), F.sum("length").alias("all_tokens"))
+    hits, _ = Workspace(nodes.sparkSession, "bm25").write(_postings(split, query_terms), "hits")
+    return scored(hits, query_terms, seen.get["n_all"], seen.get["all_tokens"] or 0)
 
-    idf = max(1e-6, ln((N - n + 0.5) / (n + 0.5))), n being the symbols a term meets; lengths count all columns.
-    """
-    index = postings(nodes)
-    totals = _columns(nodes).filter("length > 0").agg(F.count(F.lit(1)).alias("n_all"), F.avg("length").alias("mean_length"))
+
+def scored(index: DataFrame, query_terms: list[str], n_all: int, all_tokens: int) -> DataFrame:
+    """(id, score) from postings: idf = max(1e-6, ln((N - n + 0.5) / (n + 0.5))), n being the symbols a term meets; lengths count all columns."""
     meets = F.array(*[F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(query_terms)])
     hits = index.select("id", "tf", "length", F.explode(F.filter(meets, lambda x: x.isNotNull())).alias("term"))
     per = hits.groupBy("term", "id").agg(F.sum("tf").alias("f"), F.max("length").alias("length"))
     met = per.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    scored = per.join(F.broadcast(met), "term")  # one row per term of the query
-    idf = F.greatest(F.lit(1e-6), F.log((totals.select("n_all").scalar() - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / totals.select("mean_length").scalar()))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"))
+    graded = per.join(F.broadcast(met), "term")  # one row per term of the query
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n_all)) - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / (all_tokens / max(1, n_all))))
+    return graded.groupBy("id").agg(F.sum(part).alias("score"))
+
+
+class SearchIndex:
+    """Postings as a table that many queries read, by first letter of the token, and its maintenance.
+
+    A query reads the letters its terms start with.  An update replaces the postings of the symbols of changed files: each
+    generation holds what is new, and a list of ids that it takes back from the generations before; ``compact`` makes one of all.
+    """
+
+    def __init__(self, nodes: DataFrame):
+        self.spark, self.space, self.generations = nodes.sparkSession, Workspace(nodes.sparkSession, "index"), 0
+        self.parts: list[tuple[DataFrame, DataFrame | None]] = []
+        self._add(nodes, None)
+
+    def _add(self, nodes: DataFrame, gone: DataFrame | None) -> None:
+        n, self.generations = self.generations, self.generations + 1
+        split, _ = self.space.write(_columns(nodes), f"split={n}")
+        rows, _ = self.space.write(_postings(split).withColumn("letter", F.substring("token", 1, 1)), f"postings={n}", "letter")
+        lengths, _ = self.space.write(split.select("id", "length"), f"lengths={n}")
+        if gone is not None:
+            gone, _ = self.space.write(gone.select("id").distinct(), f"gone={n}")
+        self.parts.append((rows, lengths, gone))
+
+    def _live(self, which: int) -> DataFrame:
+        """All generations, each without the ids that later ones take back."""
+        out, taken = None, None
+        for part in reversed(self.parts):
+            rows = part[which] if taken is None else part[which].join(taken, "id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+            if part[2] is not None:
+                taken = part[2] if taken is None else taken.unionByName(part[2]).distinct()
+        return out
+
+    def update(self, old: DataFrame, new: DataFrame) -> None:
+        """Takes back the symbols ``old`` (id) and adds ``new``: those of changed or removed files, before and after."""
+        self._add(new, old.select("id").unionByName(new.select("id")))
+
+    def compact(self) -> None:
+        rows, _ = self.space.write(self._live(0), f"postings=all-{self.generations}", "letter")
+        lengths, _ = self.space.write(self._live(1), f"lengths=all-{self.generations}")
+        self.parts = [(rows, lengths, None)]
+
+    def postings(self) -> DataFrame:
+        return self._live(0).select("id", "token", "tf", "length")
+
+    def bm25(self, query_terms: list[str]) -> DataFrame:
+        total = self._live(1).agg(F.count(F.when(F.col("length") > 0, 1)).alias("n"), F.sum("length").alias("t")).first()
+        hits = self._live(0).filter(F.col("letter").isin(*sorted({t[:1] for t in query_terms})))
+        return scored(hits, query_terms, total["n"], total["t"] or 0)
 
 
 def like_ladder(nodes: DataFrame, text: str) -> DataFrame:
@@ -165,7 +224,7 @@ def sum_or(*conditions: Column) -> Column:
     return out
 
 
-def search(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
+def search(nodes: DataFrame, raw: str, limit: int = 100, index: SearchIndex | None = None) -> DataFrame:
     """(id, name, kind, score, rank): index hits, else the ladder, else near names; exact names supplemented, all rescored.
 
     The candidate stages are tried in order on the driver, each by one small action.
@@ -178,7 +237,7 @@ def search(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
         # Each stage is written as it is tried: its row count decides, and the later steps read the few hits.
         space, found = Workspace(nodes.sparkSession, "search"), terms(q.text)
         stages = [
-            lambda: bm25(nodes, found).join(pool.select("id"), "id", "left_semi") if found else None,
+            lambda: (index.bm25(found) if index else bm25(nodes, found)).join(pool.select("id"), "id", "left_semi") if found else None,
             lambda: like_ladder(pool, q.text) if len(q.text) >= 2 else None,
             lambda: fuzzy_names(pool, q.text).select("id", (1.0 / (1 + F.col("distance"))).alias("score")),
         ]
@@ -214,3 +273,32 @@ def segment_seeds(nodes: DataFrame, token: str, most: int = 3) -> DataFrame:
     joined = lambda a: F.concat(F.lit("\x01"), F.array_join(a, "\x01"), F.lit("\x01"))
     hits = callables.filter((F.lower("name") != token.lower()) & F.contains(joined(segments(F.col("name"))), joined(run)))
     return hits.orderBy(F.length("name"), "name", "file_path", "start_line", "id").limit(most).select("id", "name")
+
+
+def last_part(symbol: str) -> str:
+    """The part of a qualified name behind its last ``::``, dot or slash; '' if there is none."""
+    parts = [p for p in re.split(r"::|[./]", symbol) if p]
+    return parts[-1] if parts else ""
+
+
+def matches_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
+    """The nodes that ``symbol`` means: the exact name, a file's base name without extension, or a qualified name of which the last part is
+    the node's name while the rest stands in its qualified name or among the segments of its path."""
+    parts = [p for p in re.split(r"::|[./]", symbol) if p]
+    bare = lambda c: F.regexp_replace(c, r"(?<=.)\.[^.]*$", "")
+    fits = (F.col("name") == symbol) | ((F.col("kind") == "file") & (bare(F.col("name")) == symbol))
+    if len(parts) >= 2:
+        segments_of = F.filter(F.split("file_path", "/"), lambda x: x != "")
+        hinted = F.lit(True)
+        for hint in parts[:-1]:
+            hinted = hinted & F.exists(segments_of, lambda x, h=hint: (x == h) | (bare(x) == h))
+        fits = fits | ((F.col("name") == parts[-1]) & (F.contains("qualified_name", F.lit("::".join(parts))) | hinted))
+    return nodes.filter(F.coalesce(fits, F.lit(False)))
+
+
+def lookup(nodes: DataFrame, symbol: str, limit: int = 50) -> DataFrame:
+    """A search for one symbol: if a qualified name finds nothing, its last part is tried."""
+    found = search(nodes, symbol, limit)
+    if found.limit(1).count() or last_part(symbol) in ("", symbol):
+        return found
+    return search(nodes, last_part(symbol), limit)

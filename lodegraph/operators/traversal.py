@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.plans.storage import Workspace
+from lodegraph.plans.storage import Workspace, shuffle_width
 
 
 def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None) -> DataFrame:
@@ -23,6 +23,8 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, exp
     """
     space = Workspace(links.sparkSession, "levels")
     links, _ = space.write(links.select("source", "target").distinct(), "links")
+    # The partitioning survives in the cache, so no level shuffles the links; a lost block is rebuilt from the written table.
+    links = links.repartition(shuffle_width(links.sparkSession), "source").persist()
     start = seeds.select("seed", F.col("seed").alias("id"), F.lit(None).cast("string").alias("pred")).distinct()
     frontier, seen = space.append(start, "reached", "depth", 0)
     depth = 0
@@ -33,6 +35,7 @@ def levels(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, exp
         found = found.groupBy("seed", "id").agg(F.min("pred").alias("pred"))
         visited = space.whole("reached", frontier, "depth").select("seed", "id")
         frontier, seen = space.append(found.join(visited, ["seed", "id"], "left_anti").select("seed", "id", "pred"), "reached", "depth", depth)
+    links.unpersist()
     return space.whole("reached", frontier, "depth").select("seed", "id", "depth", "pred")
 
 
@@ -40,9 +43,33 @@ def reversed_links(links: DataFrame) -> DataFrame:
     return links.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def shortest_paths(links: DataFrame, pairs: DataFrame) -> DataFrame:
+def bfs(links: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int, edge_kinds: list[str] | None = None, refuse_kinds: list[str] | None = None, direction: str = "out", limit: int = 1000) -> DataFrame:
+    """(seed, id, depth, rank): breadth-first levels over (source, target, kind) with the options of a traversal.
+
+    ``direction`` is out, in or both.  Nodes of ``refuse_kinds`` are neither taken nor passed; a seed is never refused.  Per seed
+    the first ``limit`` nodes are kept, by depth, then by the edge that reached them (containment, calls, others), then by id;
+    the limit is cut after the traversal, so that it does not depend on the order in which edges are read.
+    """
+    kept = links.filter(F.col("kind").isin(*edge_kinds)) if edge_kinds else links
+    kept = kept.select("source", "target", F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2).alias("priority"))
+    back = kept.select(F.col("target").alias("source"), F.col("source").alias("target"), "priority")
+    kept = {"out": kept, "in": back, "both": kept.unionByName(back)}[direction].groupBy("source", "target").agg(F.min("priority").alias("priority"))
+    if refuse_kinds:
+        kept = kept.join(nodes.filter(F.col("kind").isin(*refuse_kinds)).select(F.col("id").alias("target")), "target", "left_anti")
+    space = Workspace(links.sparkSession, "bfs")
+    kept, _ = space.write(kept.select("source", "target", "priority"), "links")
+    reach = levels(kept, seeds, max_depth).select("seed", "id", "depth")
+    before = reach.select("seed", F.col("id").alias("source"), (F.col("depth") + 1).alias("depth"))
+    by = reach.filter("depth > 0").join(kept.withColumnRenamed("target", "id"), "id").join(before, ["seed", "source", "depth"], "left_semi")
+    best = by.groupBy("seed", "id").agg(F.min("priority").alias("priority"))
+    ranked = reach.join(best, ["seed", "id"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
+    order = Window.partitionBy("seed").orderBy("depth", "priority", "id")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "id", "depth", "rank")
+
+
+def shortest_paths(links: DataFrame, pairs: DataFrame, max_length: int | None = None) -> DataFrame:
     """(from_id, to_id, length, path): unweighted shortest paths of the (from_id, to_id) pairs that are connected; the smallest predecessor wins ties."""
-    reach = levels(links, pairs.select(F.col("from_id").alias("seed")))
+    reach = levels(links, pairs.select(F.col("from_id").alias("seed")), max_length)
     spark = links.sparkSession
     space = Workspace(spark, "paths")
     found = reach.select("seed", "id", "depth", "pred")
@@ -132,21 +159,27 @@ def cyclic(links: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """(id, pagerank): fixed rounds, containment excluded, parallel edges and self-loops counted, dangling mass spread evenly.
 
-    Parallel edges are folded into a weight first; each round is written, and with it the dangling mass is summed.
+    A round is r' = d M r + c 1, where c brings the sum back to one.  So every r is a sum of the vectors v_j = (d M)^j 1 whose
+    factors follow from the sums of the v_j alone.  A round is then one join and one aggregate over what sources give: it
+    meets neither all ids nor the ranks before it, and its sum is observed while it is written.  Parallel edges are
+    folded into a weight first; shares stay partitioned by source; what is given is summed per target before the shuffle.
     """
-    space = Workspace(nodes.sparkSession, "rank")
+    spark = nodes.sparkSession
+    space = Workspace(spark, "rank")
     weights = edges.filter("kind <> 'contains'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("w"))
     out = weights.groupBy("source").agg(F.sum("w").alias("out"))
-    shares, _ = space.write(weights.join(out, "source").select("source", "target", (F.col("w") / F.col("out")).alias("share")), "shares")
-    ids, seen = space.write(nodes.select("id").join(out.select(F.col("source").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "ids")
+    shares, _ = space.write(weights.join(out, "source").select("source", "target", (F.col("w") / F.col("out") * damping).alias("share")), "shares")
+    vector, seen = space.append(nodes.select("id").distinct().withColumn("x", F.lit(1.0)), "vectors", "round", 0)
     n = seen["rows"]
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    rank, lost = space.write(ids.select("id", "dangling", F.lit(1.0 / n).alias("pagerank")), "rank=0", metrics={"lost": F.sum(F.when(F.col("dangling"), F.col("pagerank")))})
+    shares = shares.repartition(shuffle_width(spark), "source").persist()
+    factors, sums = [1.0 / n], []
     for k in range(1, rounds + 1):
-        base = (1 - damping) / n + damping * (lost["lost"] or 0.0) / n
-        given = shares.join(rank.select(F.col("id").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("given"))
-        rank, lost = space.write(ids.join(given, "id", "left").select("id", "dangling", (F.lit(base) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("pagerank")), f"rank={k}", metrics={"lost": F.sum(F.when(F.col("dangling"), F.col("pagerank")))})
-        if k > 1:
-            space.drop(f"rank={k - 2}")
-    return rank.select("id", "pagerank")
+        given = shares.join(vector.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))
+        vector, seen = space.append(given, "vectors", "round", k, metrics={"total": F.sum("x")})
+        sums.append(seen["total"] or 0.0)
+        factors = [(1.0 - sum(a * s for a, s in zip(factors, sums))) / n, *factors]
+    shares.unpersist()
+    factor = F.element_at(F.array(*[F.lit(a) for a in factors]), F.col("round") + 1)
+    return space.whole("vectors", vector, "round").groupBy("id").agg(F.sum(F.col("x") * factor).alias("pagerank"))

@@ -183,7 +183,9 @@ def t6_site_scope(g: Graph) -> DataFrame:
     return a.select("ref_id").unionByName(b.select("ref_id")).unionByName(c.select("ref_id")).distinct()
 
 
-@query(with_(FILES) + "select f.path from f join file_texts t on t.path = f.path where lower(f.content_hash) <> sha256(t.text)")
+@query("select path, count(distinct lower(content_hash)) as n_stale from (select s.path, s.content_hash from scans s join file_texts t on t.path = s.path where s.content_hash is not null and lower(s.content_hash) <> sha256(t.text)) group by 1")
 def m15_stale_files(g: Graph) -> DataFrame:
-    """Files whose indexed hash is not that of their text."""
-    return g.files().select("path", F.lower("content_hash").alias("h")).join(g.raw("file_texts"), "path").filter(F.col("h") != F.sha2("text", 256)).select("path")
+    """Files of which scans saw other contents than the text at hand, and how many."""
+    texts = g.raw("file_texts").select("path", F.sha2("text", 256).alias("now"))
+    seen = g.raw("scans").filter("path is not null and content_hash is not null").select("path", F.lower("content_hash").alias("h")).distinct()
+    return seen.join(texts, "path").filter("h <> now").groupBy("path").agg(count().alias("n_stale"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.paths import LANGUAGE_OF, NON_PRODUCTION, CAMEL_TEST, GENERATED_PATH, IGNORED_DIRS, TEST_FILE, basename, dirname, glob_regex, ignored, is_generated_path, is_non_production, is_path_shaped, is_test_file, language_of, normalized, proximity
-from lodegraph.functions.names import node_id, segments, snake_to_camel, stems
+from lodegraph.functions.names import kebab_to_pascal, node_id, plain_word, segments, snake_to_camel, stems
 from lodegraph.operators.adjacency import degrees, file_dependencies, reference_sites, strongest
 from lodegraph.operators.store import Graph, delete_files
 from lodegraph.queries.sql import DEPS, E, L, N, R, with_
@@ -70,12 +70,19 @@ def a2_ignore_fold(g: Graph) -> DataFrame:
     return g.files().select("path", ignored(F.col("path"), _IGNORE).alias("is_ignored"))
 
 
-@query("select path, regexp_matches(substr(text, 1, 8192), 'namespace\\s+\\w+|\\bclass\\s+\\w+\\s*[:{]|template\\s*<|std::|public:|private:') as looks_like_cpp, regexp_matches(substr(text, 1, 8192), '@(interface|implementation|protocol|property)\\b|#import\\s') as looks_like_objc from file_texts where path like '%.c' and text is not null")
+# What a C header shows of other languages.
+_CPP = r"\bnamespace\b|\bclass\s+\w+\s*[:{]|\b(?:class|struct)\s+[A-Z][A-Z0-9_]+\s+\w+\s*(?:final\s*)?[:{]|\btemplate\s*<|\b(?:public|private|protected)\s*:|\bvirtual\b|\busing\s+(?:namespace\b|\w+\s*=)"
+_OBJC = r"@(?:interface|implementation|protocol|synthesize)\b"
+
+
+@query(f"""select path, case when not regexp_matches(path, '\\.h$') then 'none' when regexp_matches(substr(text, 1, 8192), '{_OBJC}') then 'objc' when regexp_matches(substr(text, 1, 8192), '{_CPP}') then 'cpp' else 'c' end as header_language,
+  regexp_matches(substr(text, 1, 8192), '{_CPP}') as looks_like_cpp, regexp_matches(substr(text, 1, 8192), '{_OBJC}') as looks_like_objc from file_texts where path is not null and text is not null""")
 def a5_header_sniff(g: Graph) -> DataFrame:
+    """What the first 8,192 characters show of C++ and Objective-C; for headers it decides the language."""
     head = F.substring("text", 1, 8192)
-    cpp = head.rlike(r"namespace\s+\w+|\bclass\s+\w+\s*[:{]|template\s*<|std::|public:|private:")
-    objc = head.rlike(r"@(interface|implementation|protocol|property)\b|#import\s")
-    return g.raw("file_texts").filter(F.col("path").endswith(".c") & F.col("text").isNotNull()).select("path", cpp.alias("looks_like_cpp"), objc.alias("looks_like_objc"))
+    cpp, objc = head.rlike(_CPP), head.rlike(_OBJC)
+    language = F.when(~F.col("path").rlike(r"\.h$"), "none").when(objc, "objc").when(cpp, "cpp").otherwise("c")
+    return g.raw("file_texts").filter("path is not null and text is not null").select("path", language.alias("header_language"), cpp.alias("looks_like_cpp"), objc.alias("looks_like_objc"))
 
 
 @query(with_(FILES) + "select path, size, case when size > 4096 then 'file exceeds the size limit' end as message from f")
@@ -288,12 +295,15 @@ def d14_innermost_scope(g: Graph) -> DataFrame:
     return met.groupBy("ref_id").agg(F.coalesce(start, F.lit(1)).alias("scope_start"))
 
 
-@query(with_(N) + """select distinct r.ref_id, i.id as import_id from refs r join n i on i.kind = 'import' and i.file_path = r.file_path and i.name = string_split(r.reference_name, '.')[1]""")
+@query(with_(N, L) + """select distinct l.source as from_node_id, t.name, i.id as import_id from l join n s on s.id = l.source join n t on t.id = l.target
+  join n i on i.kind = 'import' and i.file_path = s.file_path and i.name in (select unnest(string_split(lower(regexp_replace(t.name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '_'))) where l.kind in ('calls', 'instantiates', 'references')""")
 def d17_imports_of_refs(g: Graph) -> DataFrame:
-    """References whose first segment is an imported name of the same file."""
-    imports = g.nodes("kind", "name", "file_path").filter("kind = 'import'").select(F.col("id").alias("import_id"), "name", "file_path")
-    refs = g.raw("refs").select("ref_id", "file_path", F.split("reference_name", r"\.")[0].alias("name"))
-    return refs.join(imports, ["file_path", "name"]).select("ref_id", "import_id")
+    """Used names of which a word is an imported name of the using file."""
+    nodes = g.nodes("kind", "name", "file_path")
+    imports = nodes.filter("kind = 'import'").select(F.col("id").alias("import_id"), F.col("name").alias("word"), "file_path")
+    used = g.links("calls", "instantiates", "references").join(nodes.select(F.col("id").alias("source"), "file_path"), "source").join(nodes.select(F.col("id").alias("target"), "name"), "target").select(F.col("source").alias("from_node_id"), "file_path", "name").distinct()
+    words = F.split(F.lower(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1_$2")), "_")
+    return used.withColumn("word", F.explode(F.array_distinct(words))).join(imports, ["file_path", "word"]).select("from_node_id", "name", "import_id").distinct()
 
 
 _SHARED = """(select count(*) from range(1, 9) as k(i) where
@@ -416,10 +426,10 @@ def g4_changed_symbols(g: Graph) -> DataFrame:
     return ends.filter("a <> b").select("id", "name")
 
 
-@query(with_(FILES) + "select path from f where path not in (select path from file_texts where path is not null)")
+@query("select distinct path from scans where path is not null and content_hash is not null and path not in (select path from file_texts where path is not null)")
 def g5_removed_files(g: Graph) -> DataFrame:
-    """Indexed files without a text."""
-    return g.files().select("path").join(g.raw("file_texts").select("path").distinct(), "path", "left_anti")
+    """Scanned files of which no text is left."""
+    return g.raw("scans").filter("path is not null and content_hash is not null").select("path").distinct().join(g.raw("file_texts").filter("path is not null").select("path").distinct(), "path", "left_anti")
 
 
 # --- functions
@@ -449,9 +459,17 @@ def n9_snake_to_camel(g: Graph) -> DataFrame:
 
 
 def _stem_sql() -> str:
-    rules = [("ing", 5, ""), ("ing", 5, "e"), ("tion", 6, ""), ("sion", 6, ""), ("ment", 6, ""), ("ies", 4, "y"), ("es", 4, ""), ("s", 3, ""), ("ed", 4, ""), ("ed", 4, "e"), ("er", 4, ""), ("er", 4, "e")]
-    parts = ", ".join(f"case when ends_with(w, '{end}') and length(w) > {least} then left(w, length(w) - {len(end)}) || '{put}' end" for end, least, put in rules)
-    return f"array_to_string(list_sort(list_distinct(list_filter([{parts}], lambda x: x is not null))), ' ')"
+    # stated rule by rule, as suffix pairs of the word
+    cut = lambda k, put="": f"left(w, length(w) - {k}) || '{put}'"
+    twice = lambda k: f"substr(w, length(w) - {k}, 1) = substr(w, length(w) - {k + 1}, 1)"
+    rules = [
+        ("w like '%ing' and length(w) > 5", [cut(3), cut(3, "e")]), (f"w like '%ing' and length(w) > 5 and {twice(3)}", [cut(4)]), ("(w like '%tion' or w like '%sion') and length(w) > 5", [cut(3)]),
+        ("w like '%ment' and length(w) > 6", [cut(4)]), ("w like '%ies' and length(w) > 4", [cut(3, "y")]), ("w like '%es' and w not like '%ies' and length(w) > 4", [cut(2)]),
+        ("w like '%s' and w not like '%es' and w not like '%ss' and length(w) > 4", [cut(1)]), ("w like '%ed' and w not like '%eed' and length(w) > 4", [cut(1), cut(2)]),
+        ("w like '%ied' and length(w) > 5", [cut(3, "y")]), ("w like '%er' and length(w) > 4", [cut(2), cut(2, "e")]), (f"w like '%er' and length(w) > 4 and {twice(2)}", [cut(3)]),
+    ]
+    parts = ", ".join(f"case when {cond} then {v} end" for cond, values in rules for v in values)
+    return f"array_to_string(list_sort(list_distinct(list_filter([{parts}], lambda x: x is not null and length(x) >= 3 and x <> w))), ' ')"
 
 
 @query(with_(N) + f"select w as word, {_stem_sql()} as stems from (select distinct unnest({_SEG}) as w from n) where w <> ''")
@@ -552,3 +570,18 @@ def t4_sync_candidates(g: Graph) -> DataFrame:
     """Paths a sync has to look at: everything scanned with a hash, and everything indexed."""
     scanned = g.raw("scans").filter("path is not null and content_hash is not null").select("path")
     return scanned.unionByName(g.files().select("path")).distinct()
+
+
+@query("select distinct regexp_replace(path, '^.*/', '') as base, (select string_agg(upper(left(p, 1)) || substr(p, 2), '' order by k) from (select unnest(string_split(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]*$', ''), '-')) as p, generate_subscripts(string_split(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]*$', ''), '-'), 1) as k)) as component from documents where path is not null")
+def n9_kebab_to_pascal(g: Graph) -> DataFrame:
+    """Base names of documents as component names."""
+    base = basename(F.col("path"))
+    return g.raw("documents").filter("path is not null").select(base.alias("base"), kebab_to_pascal(F.regexp_replace(base, r"\.[^.]*$", "")).alias("component")).distinct()
+
+
+@query("select word, n_docs from (select lower(strip_accents(w)) as word, count(distinct doc_id) as n_docs from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{3,}')) as w from documents where text is not null and doc_id is not null) group by 1)")
+def n8_plain_words(g: Graph) -> DataFrame:
+    """Words of all texts without marks and case, with the number of documents."""
+    words = g.raw("documents").filter("text is not null and doc_id is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{3,}"), F.lit(0))).alias("w"))
+    fine = words.groupBy(plain_word(F.col("w")).alias("word"), "doc_id").agg(count())
+    return fine.groupBy("word").agg(count().alias("n_docs"))

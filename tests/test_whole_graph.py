@@ -23,11 +23,11 @@ def test_file_graph_of_all_kinds(spark, tmp_path):
     pairs = {(where[a], where[b]) for a, b, kind in edges if kind != "contains" and where[a] != where[b]}
     queries = entry.queries()
     cyclic = {a for a, b in pairs if a in bfs(pairs, b)}
-    assert {r.path for r in queries["h12_cyclic_files_all"](spark, str(tmp_path)).collect()} == cyclic and cyclic
+    assert {r.path for r in queries["h12_cyclic_files"](spark, str(tmp_path)).collect()} == cyclic and cyclic
     # what depends on the changed file; tests are not expanded
     back = [(b, a) for a, b in pairs if b != "f5_test.py"]
     want = set(bfs(back, "f0.py"))
-    got = {r.path: r.is_test for r in queries["h15_affected_tests_all"](spark, str(tmp_path)).collect()}
+    got = {r.path: r.is_test for r in queries["h15_affected_tests"](spark, str(tmp_path)).collect()}
     assert got == {p: p == "f5_test.py" for p in want} and "f5_test.py" in want
 
 
@@ -37,7 +37,7 @@ def test_questions_for_every_symbol(spark, tmp_path):
     where = tables(spark, str(tmp_path), edges)
     ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
     back = [(b, a) for a, b, _ in edges]
-    assert {(r.seed, r.id): r.depth for r in ask("h3_callers_depth2_all")} == {(s, i): d for s in where for i, d in bfs(back, s, 2).items()}
-    assert {(r.seed, r.role, r.id) for r in ask("h5_call_graph_all")} == {(s, "focal", s) for s in where} | {(b, "caller", a) for a, b, _ in edges} | {(a, "callee", b) for a, b, _ in edges}
-    assert {r.seed: (r.n_callers, r.n_test_callers, r.n_files) for r in ask("h16_blast_radius_all")} == {b: (1, int(where[a] == "f5_test.py"), 1) for a, b, _ in edges}
-    assert {(r.seed, r.file_path) for r in ask("m5_explore_files_all")} == {(s, where[s]) for s in where} | {(s, where[x]) for a, b, _ in edges for s, x in ((a, b), (b, a))}
+    assert {(r.seed, r.id): r.depth for r in ask("h3_callers_depth2")} == {(s, i): d for s in where for i, d in bfs(back, s, 2).items()}
+    assert {(r.seed, r.role, r.id) for r in ask("h5_call_graph")} == {(s, "focal", s) for s in where} | {(b, "caller", a) for a, b, _ in edges} | {(a, "callee", b) for a, b, _ in edges}
+    assert {r.seed: (r.n_callers, r.n_test_callers, r.n_files) for r in ask("h16_blast_radius")} == {b: (1, int(where[a] == "f5_test.py"), 1) for a, b, _ in edges}
+    assert {(r.seed, r.file_path) for r in ask("m5_explore_files")} == {(s, where[s]) for s in where} | {(s, where[x]) for a, b, _ in edges for s, x in ((a, b), (b, a))}
