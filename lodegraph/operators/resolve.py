@@ -7,12 +7,16 @@ part of the semantics: above it a name says nothing.  References that nothing re
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.paths import proximity
+from lodegraph.plans.settings import NUMBERS, number
+from lodegraph.plans.storage import Workspace
 
 # Names that are built in, by language; kinds; families; the ceiling.
 BUILT_INS = {
@@ -27,7 +31,7 @@ BUILT_INS = {
 BUILT_INS["typescript"] = BUILT_INS["javascript"]
 FAMILIES = {"typescript": "web", "javascript": "web", "tsx": "web", "jsx": "web", "vue": "web", "svelte": "web", "java": "jvm", "kotlin": "jvm", "scala": "jvm", "c": "c", "cpp": "c", "objc": "c", "cuda": "c"}
 CALLABLE = ("function", "method", "class", "struct", "component")
-CEILING = 500
+CEILING = NUMBERS["ambiguityCeiling"][0]
 
 
 def family(language: Column) -> Column:
@@ -60,12 +64,12 @@ def known(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.join(hits, "ref_id", "left_semi")
 
 
-def candidates(refs: DataFrame, nodes: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+def candidates(refs: DataFrame, nodes: DataFrame, left_key: Column, right_key: Column, *more: str) -> DataFrame:
     """Pairs on a key, without keys above the ambiguity ceiling; ``n_candidates`` symbols share the key."""
     keyed = nodes.withColumn("_key", right_key).filter("_key is not null and _key <> ''")
-    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n_candidates")).filter(F.col("n_candidates") <= CEILING)
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n_candidates")).filter(F.col("n_candidates") <= number(nodes.sparkSession, "ambiguityCeiling"))
     left = refs.select("ref_id", "reference_name", "reference_kind", F.col("file_path").alias("ref_path"), F.col("language").alias("ref_language"), F.col("line").alias("ref_line"), "from_node_id").withColumn("_key", left_key)
-    right = keyed.select("_key", F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("file_path").alias("target_path"), F.col("language").alias("target_language"), "start_line", "start_column", "is_exported")
+    right = keyed.select("_key", F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("file_path").alias("target_path"), F.col("language").alias("target_language"), "start_line", "start_column", "is_exported", *more)
     return left.join(sizes, "_key").join(right, "_key")
 
 
@@ -94,8 +98,7 @@ def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Qualified names: unique or in the same file 0.95, an ending 0.85."""
     dotted = refs.filter(F.col("reference_name").rlike(r"::|\.|/"))
-    pairs = candidates(dotted, nodes.withColumn("_q", F.col("qualified_name")), last_segment(F.col("reference_name")), last_segment(F.col("qualified_name")))
-    pairs = pairs.join(nodes.select(F.col("id").alias("target"), "qualified_name"), "target")
+    pairs = candidates(dotted, nodes, last_segment(F.col("reference_name")), last_segment(F.col("qualified_name")), "qualified_name")
     same = F.col("qualified_name") == F.col("reference_name")
     pairs = pairs.filter(F.endswith("qualified_name", "reference_name")).withColumn("grade", F.when(same, 0.95).otherwise(0.85))
     return answer(first_choice(pairs, F.col("grade") * 1000 + F.when(F.col("ref_path") == F.col("target_path"), 100).otherwise(0)), F.col("grade"), "qualified-name")
@@ -131,17 +134,35 @@ def by_function_reference(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return answer(first_choice(pairs, F.col("grade")), F.col("grade"), "function-ref")
 
 
-STRATEGIES = (by_function_reference, by_file_path, by_qualified_name, by_exact_name, by_unique_fuzzy_name)
+@dataclass
+class Project:
+    """What a strategy may look at: the symbols always; links, files and texts where the caller has them."""
 
+    nodes: DataFrame
+    links: DataFrame | None = None
+    files: DataFrame | None = None
+    texts: DataFrame | None = None
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+
+#: A strategy gives (ref_id, target, confidence, resolved_by) for open references; the order decides between equal confidence.
+Strategy = Callable[[DataFrame, Project], DataFrame]
+STRATEGIES: list[Strategy] = [lambda refs, project, f=f: f(refs, project.nodes) for f in (by_function_reference, by_file_path, by_qualified_name, by_exact_name, by_unique_fuzzy_name)]
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, project: Project | None = None, further: Sequence[Strategy] = ()) -> DataFrame:
     """(ref_id, target, confidence, resolved_by) of the references that some strategy resolves.
 
-    All strategies see the same filtered references and their answers meet in one aggregation: the order of the
-    strategies and the confidence decide, so nothing depends on which finishes first and the plan has one last shuffle.
+    ``further`` strategies (of frameworks, say) come before the built-in ones.  All strategies see the same filtered references
+    and their answers meet in one aggregation: the order of the strategies and the confidence decide, so nothing depends on
+    which finishes first and the plan has one last shuffle.
     """
-    open_refs = known(unfiltered(refs, nodes), nodes)
-    answers = [s(open_refs, nodes).withColumn("turn", F.lit(k)) for k, s in enumerate(STRATEGIES)]
+    project = project or Project(nodes)
+    # Read by every strategy: written once each.
+    space = Workspace(nodes.sparkSession, "resolve")
+    wanted = [c for c in nodes.columns if c in ("id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "start_column", "is_exported", "end_line")]
+    project.nodes, _ = space.write(nodes.select(*wanted), "nodes")
+    open_refs, _ = space.write(known(unfiltered(refs, project.nodes), project.nodes), "open")
+    answers = [s(open_refs, project).select("ref_id", "target", "confidence", "resolved_by", F.lit(k).alias("turn")) for k, s in enumerate([*further, *STRATEGIES])]
     every = reduce(DataFrame.unionByName, answers)
     sure = F.when(F.col("confidence") >= 0.9, 0).otherwise(1)
     best = every.groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), F.struct(sure.alias("s"), (-F.col("confidence")).alias("c"), "turn", "target")).alias("b"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import graph, problems, references, resolution, search, tables
+from lodegraph.queries import graph, problems, references, resolution, search, tables, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [problems, tables, graph, search, resolution, references]
+MODULES = [problems, tables, graph, search, resolution, references, upkeep]
 
 
 def queries() -> dict[str, Query]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.paths import TEST_FILE, is_test_file
+from lodegraph.functions.paths import TEST_FILE, glob_regex, is_test_file
 from lodegraph.operators.adjacency import CONTAINERS, callees, callers, file_dependencies, strongest
 from lodegraph.operators.hierarchy import hierarchies, project_links
 from lodegraph.operators.store import Graph
 from lodegraph.operators.traversal import bfs, cyclic, impact, levels, pagerank, reversed_links, shortest_paths
+from lodegraph.plans.settings import text
 from lodegraph.queries.sql import DEPS, E, L, N, with_
 from lodegraph.queries.sql import F as FILES
 
@@ -225,8 +226,10 @@ def affected(g: Graph, dependencies: DataFrame) -> DataFrame:
     files = g.files()
     last = files.agg(F.max("modified_at").alias("last"))
     changed = files.filter(F.col("modified_at") >= last.scalar() - 86_400_000)
-    reach = levels_from_set(reversed_links(dependencies), changed.select(F.col("path").alias("id")), expand=~is_test_file(F.col("id")))
-    return reach.select(F.col("id").alias("path"), is_test_file(F.col("id")).alias("is_test"))
+    glob = text(g.spark, "testGlob")
+    is_test = F.col("id").rlike(glob_regex(glob)) if glob else is_test_file(F.col("id"))
+    reach = levels_from_set(reversed_links(dependencies), changed.select(F.col("path").alias("id")), expand=~is_test)
+    return reach.select(F.col("id").alias("path"), is_test.alias("is_test"))
 
 
 def levels_from_set(links: DataFrame, starts: DataFrame, expand=None) -> DataFrame:

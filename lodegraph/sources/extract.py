@@ -58,7 +58,7 @@ def python_rows(path: str, text: str) -> Iterator[dict]:
                     yield _row("node", id=symbol_id(path, "import", alias.name, child.lineno), kind="import", name=alias.name, qualified_name=name, file_path=path, start_line=child.lineno, end_line=child.lineno, parent_id=parent)
             elif isinstance(child, ast.Call):
                 try:
-                    yield _row("ref", parent_id=parent, file_path=path, start_line=child.lineno, reference_name=ast.unparse(child.func)[:200], reference_kind="calls")
+                    yield _row("ref", parent_id=parent, file_path=path, start_line=child.lineno, reference_name=ast.unparse(child.func), reference_kind="calls")
                 except RecursionError:
                     pass
             stack.append((child, parent, prefix, in_class))
@@ -106,7 +106,7 @@ def braced_rows(path: str, text: str) -> Iterator[dict]:
                 yield _row("node", id=own, kind=kind, name=name, qualified_name=qualified, file_path=path, start_line=at, end_line=line(position), parent_id=parent_id)
             depth = max(0, depth - 1)
     for m in _IMPORTED.finditer(blank if not path.endswith((".ts", ".js", ".mjs", ".go", ".rb")) else text):
-        name = m[1].strip().strip("\"'<>();").split(" as ")[0][:200]
+        name = m[1].strip().strip("\"'<>();").split(" as ")[0]
         at = text.count("\n", 0, m.start()) + 1
         yield _row("node", id=symbol_id(path, "import", name, at), kind="import", name=name, qualified_name=name, file_path=path, start_line=at, end_line=at, parent_id=file_id)
     for m in _CALLED.finditer(blank):
@@ -118,16 +118,34 @@ def braced_rows(path: str, text: str) -> Iterator[dict]:
 EXTRACTORS: dict[str, Callable[[str, str], Iterator[dict]]] = {"py": python_rows, **dict.fromkeys(("ts", "js", "mjs", "go", "rs", "java", "c"), braced_rows)}
 
 
+def register(extension: str, extractor: Callable[[str, str], Iterator[dict]]) -> None:
+    """Adds a language: ``extractor(path, text)`` yields rows as ``node_row`` and ``ref_row`` make them."""
+    EXTRACTORS[extension.lower().lstrip(".")] = extractor
+
+
+def node_row(path: str, kind: str, name: str, start_line: int, end_line: int, parent_id: str | None = None, qualified_name: str | None = None) -> dict:
+    """A symbol; without a parent it stands in the file."""
+    parent = parent_id or symbol_id(path, "file", path, 1)
+    return _row("node", id=symbol_id(path, kind, name, start_line), kind=kind, name=name, qualified_name=qualified_name or name, file_path=path, start_line=start_line, end_line=end_line, parent_id=parent)
+
+
+def ref_row(path: str, name: str, kind: str, line: int, from_id: str | None = None) -> dict:
+    """A reference, from the file itself where no symbol holds it."""
+    return _row("ref", parent_id=from_id or symbol_id(path, "file", path, 1), file_path=path, start_line=line, reference_name=name, reference_kind=kind)
+
+
 def extract(texts: DataFrame) -> DataFrame:
     """Rows of (path, text) as ``ROWS``: what is 'node' (parent_id is the container) or 'ref' (parent_id is the source)."""
 
+    extractors = dict(EXTRACTORS)  # goes with the plan, registered languages included
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ROWS.split(", ")]
         for batch in batches:
             rows: list[dict] = []
             for path, text in zip(batch["path"], batch["text"]):
                 rows.append(_row("node", id=symbol_id(path, "file", path, 1), kind="file", name=path.rsplit("/", 1)[-1], qualified_name=path, file_path=path, start_line=1, end_line=(text or "").count("\n") + 1))
-                extractor = EXTRACTORS.get(path.rsplit(".", 1)[-1].lower())
+                extractor = extractors.get(path.rsplit(".", 1)[-1].lower())
                 if extractor and text:
                     rows.extend(extractor(path, text.replace("\r\n", "\n")))
             yield pd.DataFrame(rows, columns=columns).astype({"start_line": "Int32", "end_line": "Int32"})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators.incremental import VersionedState
+from lodegraph.plans.settings import number
 from lodegraph.plans.storage import filesystem
 
 SCANS = "scan_id bigint, run_id int, path string, content_hash string, size bigint, modified_at bigint, observed_at bigint"
@@ -23,9 +24,9 @@ def scan_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCANS).parquet(folder)
 
 
-def debounced(stream: DataFrame, quiet_ms: int = 2000, lateness: str = "1 hour") -> DataFrame:
-    """(path, first_seen, last_seen, n_events) per burst: a session window whose gap is the quiet time (100 ms to 60 s)."""
-    gap = f"{min(60_000, max(100, quiet_ms))} milliseconds"
+def debounced(stream: DataFrame, quiet_ms: int | None = None, lateness: str = "1 hour") -> DataFrame:
+    """(path, first_seen, last_seen, n_events) per burst: a session window whose gap is the quiet time (the session's setting, 100 ms to 60 s)."""
+    gap = f"{number(stream.sparkSession, 'debounceMillis') if quiet_ms is None else min(60_000, max(100, quiet_ms))} milliseconds"
     rows = stream.filter("path is not null and modified_at is not null").withColumn("at", F.timestamp_millis("modified_at"))
     return rows.withWatermark("at", lateness).groupBy("path", F.session_window("at", gap)).agg(F.min("modified_at").alias("first_seen"), F.max("modified_at").alias("last_seen"), F.count(F.lit(1)).alias("n_events")).select("path", "first_seen", "last_seen", "n_events")
 
