@@ -291,7 +291,7 @@ def matches_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
         segments_of = F.filter(F.split("file_path", "/"), lambda x: x != "")
         hinted = F.lit(True)
         for hint in parts[:-1]:
-            hinted = hinted & F.exists(segments_of, lambda x, h=hint: (x == h) | (bare(x) == h))
+            hinted = hinted & (F.array_contains(segments_of, hint) | F.array_contains(F.transform(segments_of, bare), hint))
         fits = fits | ((F.col("name") == parts[-1]) & (F.contains("qualified_name", F.lit("::".join(parts))) | hinted))
     return nodes.filter(F.coalesce(fits, F.lit(False)))
 

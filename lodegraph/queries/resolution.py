@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import resolve as R
 from lodegraph.operators.store import Graph
-from lodegraph.queries.sql import E, L, N, with_
+from lodegraph.operators.adjacency import file_dependencies
+from lodegraph.queries.sql import DEPS, E, L, N, with_
 from lodegraph.queries.sql import F as FILES
 
 QUERIES: dict = {}
@@ -84,26 +85,29 @@ def r12_function_ref(g: Graph) -> DataFrame:
     return R.by_function_reference(g.raw("refs"), _nodes(g))
 
 
-@query(with_(N, "q as (select id as ref_id, regexp_extract(qualified_name, '([^/]+/[^/]+)$', 1) as nm, file_path as a from n where kind = 'file' and qualified_name like '%/%')", "fl as (select *, regexp_extract(file_path, '([^/]+)$', 1) as base, count(*) over (partition by regexp_extract(file_path, '([^/]+)$', 1)) as c from n where kind = 'file')") + f"""
+@query(with_(N, L, DEPS, "q as (select path || '>' || depends_on as ref_id, regexp_extract(depends_on, '([^/]+/[^/]+)$', 1) as nm, path as a from deps where depends_on like '%/%')", "fl as (select *, regexp_extract(file_path, '([^/]+)$', 1) as base, count(*) over (partition by regexp_extract(file_path, '([^/]+)$', 1)) as c from n where kind = 'file')") + f"""
    select ref_id, target, confidence from (select *, row_number() over (partition by ref_id order by confidence * 1000 + {_NEAR} desc, b, start_line, start_column, target) as rk from (
    select q.ref_id, fl.id as target, q.a, fl.file_path as b, fl.start_line, fl.start_column, cast(case when fl.file_path = q.nm then 0.95 when ends_with(fl.file_path, '/' || q.nm) then 0.85 when fl.c = 1 then 0.7 end as double) as confidence
    from q join fl on fl.base = regexp_extract(q.nm, '([^/]+)$', 1) where fl.c <= {R.CEILING}) where confidence is not null) where rk = 1""")
 def r3_file_path(g: Graph) -> DataFrame:
-    """Files named by folder and base name, read as references: whole path, path end, or a lone base name, the nearest first."""
+    """Files that others depend on, named by folder and base name: whole path, path end, or a lone base name, the nearest first."""
     nodes = _nodes(g)
-    short = F.regexp_extract("qualified_name", "([^/]+/[^/]+)$", 1)
-    refs = nodes.filter("kind = 'file' and qualified_name like '%/%'").select(F.col("id").alias("ref_id"), short.alias("reference_name"), F.lit("imports").alias("reference_kind"), "file_path", "language", F.col("start_line").alias("line"), F.col("id").alias("from_node_id"))
+    short = F.regexp_extract("depends_on", "([^/]+/[^/]+)$", 1)
+    deps = file_dependencies(g.links(), g.nodes("file_path")).filter("depends_on like '%/%'")
+    refs = deps.select(F.concat_ws(">", "path", "depends_on").alias("ref_id"), short.alias("reference_name"), F.lit("imports").alias("reference_kind"), F.col("path").alias("file_path"), F.lit("").alias("language"), F.lit(1).alias("line"), F.col("path").alias("from_node_id"))
     return R.by_file_path(refs, nodes).select("ref_id", "target", "confidence")
 
 
-@query(with_(N, "q as (select id as ref_id, qualified_name as reference_name, file_path from n where kind = 'method' and qualified_name is not null)") + """select ref_id, target, confidence from (select *, row_number() over (partition by ref_id order by confidence * 1000 + same desc, b, start_line, start_column, target) as rk from (
+@query(with_(N, L, "q as (select distinct s.file_path || '>' || t.qualified_name as ref_id, t.qualified_name as reference_name, s.file_path from l join n s on s.id = l.source join n t on t.id = l.target where l.kind in ('calls', 'references') and t.qualified_name is not null and s.file_path is not null)") + """select ref_id, target, confidence from (select *, row_number() over (partition by ref_id order by confidence * 1000 + same desc, b, start_line, start_column, target) as rk from (
    select q.ref_id, n.id as target, cast(case when n.qualified_name = q.reference_name then 0.95 else 0.85 end as double) as confidence, case when q.file_path = n.file_path then 100 else 0 end as same, n.file_path as b, n.start_line, n.start_column
    from q join (select *, count(*) over (partition by regexp_extract(qualified_name, '([^./:]+)$', 1)) as c from n) n on regexp_extract(n.qualified_name, '([^./:]+)$', 1) = regexp_extract(q.reference_name, '([^./:]+)$', 1)
    where n.c <= 500 and ends_with(n.qualified_name, q.reference_name) and regexp_matches(q.reference_name, '::|\\.|/'))) where rk = 1""")
 def r4_qualified(g: Graph) -> DataFrame:
-    """Qualified names of methods, read as references, find their symbols."""
+    """Symbols that files call or refer to, named in full, and what the names find."""
     nodes = _nodes(g)
-    refs = nodes.filter("kind = 'method' and qualified_name is not null").select(F.col("id").alias("ref_id"), F.col("qualified_name").alias("reference_name"), F.lit("calls").alias("reference_kind"), "file_path", "language", F.col("start_line").alias("line"), F.col("id").alias("from_node_id"))
+    ends = nodes.select(F.col("id").alias("target"), F.col("qualified_name").alias("reference_name")).filter("reference_name is not null")
+    used = g.links("calls", "references").join(ends, "target").join(nodes.select(F.col("id").alias("source"), "file_path", "language"), "source").filter("file_path is not null").select("file_path", "reference_name").distinct()
+    refs = used.select(F.concat_ws(">", "file_path", "reference_name").alias("ref_id"), "reference_name", F.lit("calls").alias("reference_kind"), "file_path", F.lit("").alias("language"), F.lit(1).alias("line"), F.lit("").alias("from_node_id"))
     return R.by_qualified_name(refs, nodes).select("ref_id", "target", "confidence")
 
 
