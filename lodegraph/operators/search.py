@@ -102,7 +102,9 @@ def bm25(nodes: DataFrame, query_terms: list[str]) -> DataFrame:
     """(id, score) of the symbols with a token that starts with a term, from the symbols themselves in one pass over them."""
     seen = Observation()
     split = _columns(nodes).observe(seen, F.count(F.when(F.col("length") > 0, 1)).alias("n_all"), F.sum("length").alias("all_tokens"))
-    hits, _ = Workspace(nodes.sparkSession, "bm25").write(_postings(split, query_terms), "hits")
+    hits, found = Workspace(nodes.sparkSession, "bm25").write(_postings(split, query_terms), "hits")
+    if not found["rows"]:  # a plan known to be empty is not run, and then nothing is observed; without hits no total is needed
+        return hits.select("id", F.lit(0.0).alias("score"))
     return scored(hits, query_terms, seen.get["n_all"], seen.get["all_tokens"] or 0)
 
 

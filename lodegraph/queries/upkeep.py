@@ -268,3 +268,93 @@ def x9_embedded_blocks(g: Graph) -> DataFrame:
     """Code in another language inside texts, by language."""
     blocks = X.fenced_blocks(g.raw("documents"))
     return blocks.groupBy("lang").agg(count().alias("n_blocks"), F.sum(F.length("code")).alias("n_chars"))
+
+
+# --- lookups and exports
+
+
+@query(with_(N) + """select 'name' as lane, id from n where name in (select reference_name from refs) union all select 'lower_name', id from n where lower(name) in (select lower(reference_name) from refs)
+  union all select 'kind', id from n where kind = 'namespace' union all select 'file', id from n where file_path in (select path from files where generated = 1) union all select 'qualified_name', id from n where qualified_name in (select name from n)""")
+def a9_lookups(g: Graph) -> DataFrame:
+    """Symbols by name, by name without case, by kind, by file and by qualified name: each lane one semi-join with its keys."""
+    nodes, refs = g.nodes("kind", "name", "qualified_name", "file_path"), g.raw("refs").filter("reference_name is not null").select("reference_name").distinct()
+    made = g.raw("files").filter("generated = 1 and path is not null").select(F.col("path").alias("file_path")).distinct()
+    lanes = {
+        "name": nodes.join(refs.withColumnRenamed("reference_name", "name"), "name", "left_semi"),
+        "lower_name": nodes.withColumn("k", F.lower("name")).join(refs.select(F.lower("reference_name").alias("k")).distinct(), "k", "left_semi"),
+        "kind": nodes.filter("kind = 'namespace'"),
+        "file": nodes.join(made, "file_path", "left_semi"),
+        "qualified_name": nodes.join(nodes.select(F.col("name").alias("qualified_name")).distinct(), "qualified_name", "left_semi"),
+    }
+    out = None
+    for lane, df in lanes.items():
+        part = df.select(F.lit(lane).alias("lane"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(with_(N, E) + "select true as directed, true as multigraph, (select count(*) from n) as n_nodes, (select count(*) from e) as n_links, (select string_agg(kind, ',' order by kind) from (select distinct kind from e)) as link_kinds")
+def b9_export_envelope(g: Graph) -> DataFrame:
+    """What stands around the nodes and links of an export."""
+    links = g.edges().agg(count().alias("n_links"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("link_kinds"))
+    return links.select(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), g.nodes("kind").agg(count().alias("n")).scalar().alias("n_nodes"), "n_links", "link_kinds")
+
+
+@query("select ref_id, from_node_id as source, reference_name as name, reference_kind as relation, file_path as source_file, line, array_to_string(candidates, '|') as candidates from refs")
+def a11_export_references(g: Graph) -> DataFrame:
+    """The open references of an export."""
+    return g.raw("refs").select("ref_id", F.col("from_node_id").alias("source"), F.col("reference_name").alias("name"), F.col("reference_kind").alias("relation"), F.col("file_path").alias("source_file"), "line", F.array_join("candidates", "|").alias("candidates"))
+
+
+@query(with_(FILES) + "select path as id, 'file' as label, language, size, coalesce(generated = 1, false) as generated, coalesce(array_to_string(errors, '|'), '') as errors from f")
+def a11_export_files(g: Graph) -> DataFrame:
+    """The files of an export."""
+    return g.files().select(F.col("path").alias("id"), F.lit("file").alias("label"), "language", "size", F.coalesce(F.col("generated") == 1, F.lit(False)).alias("generated"), F.coalesce(F.array_join("errors", "|"), F.lit("")).alias("errors"))
+
+
+@query(with_(N, E) + """select part, n from (select 'resolved' as part, count(*) as n from e where json_extract_string(metadata, '$.resolvedBy') is not null union all select 'unresolved', count(*) from refs
+  union all select 'total', (select count(*) from e where json_extract_string(metadata, '$.resolvedBy') is not null) + (select count(*) from refs) union all select 'by:' || json_extract_string(metadata, '$.resolvedBy'), count(*) from e where json_extract_string(metadata, '$.resolvedBy') is not null group by 1)""")
+def e9_resolution_totals(g: Graph) -> DataFrame:
+    """Resolved references, open ones, both together, and the resolved by strategy."""
+    by = F.get_json_object("metadata", "$.resolvedBy")
+    strategies = g.edges().filter(by.isNotNull()).groupBy(F.concat(F.lit("by:"), by).alias("part")).agg(count().alias("n"))
+    n_open = g.raw("refs").agg(count().alias("n"))
+    resolved = g.edges().agg(F.count(by).alias("n"))
+    total = resolved.select((F.col("n") + n_open.scalar()).alias("n"))
+    rows = [resolved.select(F.lit("resolved").alias("part"), "n"), n_open.select(F.lit("unresolved").alias("part"), "n"), total.select(F.lit("total").alias("part"), "n")]
+    return strategies.unionByName(rows[0]).unionByName(rows[1]).unionByName(rows[2])
+
+
+_PINS = "pins as (select distinct reference_name as name, case when strpos(reference_name, '_') > 0 then split_part(reference_name, '_', -1) else lower(reference_name) end as pin from refs where reference_name is not null)"
+
+
+@query(with_(FILES, _PINS, "b as (select path, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '(_[^_.]*)?\\.[^.]*$', '') as stem from f)") + "select distinct pins.pin, b.path, b.path is null as missing from pins left join b on b.stem = pins.pin")
+def c8_pins_and_misses(g: Graph) -> DataFrame:
+    """Files pinned by base name, and the pins that meet none: the last word of every open reference taken as a pin."""
+    name = F.col("reference_name")
+    pin = F.when(F.contains(name, F.lit("_")), F.element_at(F.split(name, "_"), -1)).otherwise(F.lower(name))
+    pins = g.raw("refs").filter("reference_name is not null").select(pin.alias("pin")).distinct()
+    stems = g.files().select("path", F.regexp_replace(basename(F.col("path")), r"(_[^_.]*)?\.[^.]*$", "").alias("pin"))
+    return pins.join(stems, "pin", "left").select("pin", "path", F.col("path").isNull().alias("missing")).distinct()
+
+
+@query(with_(N, L) + """select file_path, n_symbols, n_callers, case when n_callers >= greatest(1, most // 4) then 'high' when n_callers > 0 then 'some' else 'none' end as tier from (
+  select file_path, n_symbols, n_callers, max(n_callers) over () as most from (select n.file_path, count(*) as n_symbols, cast(coalesce(sum(c.k), 0) as bigint) as n_callers from n left join (select target, count(distinct source) as k from l where kind = 'calls' group by 1) c on c.target = n.id where n.kind <> 'file' group by 1))""")
+def e12_file_tiers(g: Graph) -> DataFrame:
+    """Files by how much they are called: a quarter of the most called file's callers make the upper tier."""
+    called = g.links("calls").select("source", "target").distinct().groupBy(F.col("target").alias("id")).agg(count().alias("k"))
+    files = g.nodes("kind", "file_path").filter("kind <> 'file'").join(called, "id", "left").groupBy("file_path").agg(count().alias("n_symbols"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_callers"))
+    most = files.agg(F.max("n_callers").alias("m")).scalar()
+    tier = F.when(F.col("n_callers") >= F.greatest(F.lit(1), F.floor(most / 4)), "high").when(F.col("n_callers") > 0, "some").otherwise("none")
+    return files.select("file_path", "n_symbols", "n_callers", tier.alias("tier"))
+
+
+@query(with_(N, "old as (select id, arg_min(name, updated_at) as name, arg_min(coalesce(docstring, ''), updated_at) as d from nodes where id is not null group by id)", "a as (select id, name, d from old)", "b as (select id, name, coalesce(docstring, '') as d from n)")
+       + "select id, name, min(side) as side, count(*) as n_sides from (select id, name, d, 'before' as side from (select * from a except select * from b) union all select id, name, d, 'after' from (select * from b except select * from a)) group by id, name")
+def g4_symmetric_difference(g: Graph) -> DataFrame:
+    """Symbols that stand on one side only when first and newest sightings are compared as sets of (id, name, documentation)."""
+    seen = g.raw("nodes").filter("id is not null").withColumn("d", F.coalesce("docstring", F.lit("")))
+    before = seen.groupBy("id").agg(F.min_by(F.struct("name", "d"), "updated_at").alias("x")).select("id", "x.name", "x.d")
+    after = g.nodes("name", "docstring").select("id", "name", F.coalesce("docstring", F.lit("")).alias("d"))
+    both = before.withColumn("side", F.lit(-1)).unionByName(after.withColumn("side", F.lit(1))).groupBy("id", "name", "d").agg(F.sum("side").alias("side")).filter("side <> 0")
+    return both.groupBy("id", "name").agg(F.when(F.max("side") > 0, "after").otherwise("before").alias("side"), count().alias("n_sides"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodegraph.functions.names import segments, snake_to_camel, stems
+from lodegraph.functions.names import kebab_to_pascal, plain_word, segments, snake_to_camel, stems
 from lodegraph.functions.paths import basename, dirname, ignored, is_generated_path, is_path_shaped, is_test_file, language_of, normalized, proximity
 from lodegraph.functions.routes import page_route, wire_name
 
@@ -25,6 +25,9 @@ def test_names(spark):
     x = F.col("x")
     assert column(spark, ["parseHTTPHeader2", "snake_case", ""], F.array_join(segments(x), " ")) == [("parse http header2",), ("snake case",), ("",)]
     assert column(spark, ["do_a_thing", "one"], snake_to_camel(x)) == [("doAThing",), ("one",)]
-    assert column(spark, ["running", "cities", "go"], F.array_join(stems(x), " ")) == [("runn runne",), ("citi citie city",), ("",)]
+    words = {"running": "run runn runne", "cities": "city", "go": "", "decision": "decis", "agreement": "agree", "boxes": "box", "tokens": "token", "class": "", "walked": "walk walke", "copied": "copi copie copy", "parser": "pars parse", "runner": "run runn runne", "feed": "", "ing": "", "er": "", "action": "act"}
+    assert column(spark, list(words), F.array_join(stems(x), " ")) == [(w,) for w in words.values()]
+    assert column(spark, ["Élan", "naïve", "Ångström", "e\u0301a", "日本"], plain_word(x)) == [("elan",), ("naive",), ("angstrom",), ("ea",), ("日本",)]
+    assert column(spark, ["my-own-tag", "tag"], kebab_to_pascal(x)) == [("MyOwnTag",), ("Tag",)]
     assert column(spark, ["src/pages/blog/[slug].tsx", "pages/index.js", "lib/a.ts", "app/(shop)/item/page.tsx"], page_route(x)) == [("/blog/:slug",), ("/",), (None,), ("/item",)]
     assert column(spark, ["get_User-name"], wire_name(x)) == [("getusername",)]
