@@ -85,35 +85,37 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, max_length: int | None =
 
 def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(seed, id, depth): what depends on each seed.  Reverse edges other than containment cost one level; the members of a
-    container come at the container's own level."""
+    container come at the container's own level, however deep containers nest.
+
+    The members of all containers are walked down once, so that a level is one join with reverse edges and one with members; both
+    are shuffled by their source once and kept so, and what is reached is one table, read in one scan per step.
+    """
     from lodegraph.operators.adjacency import CONTAINERS
 
+    spark = edges.sparkSession
+    space, width = Workspace(spark, "impact"), shuffle_width(spark)
     containers = nodes.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("source"))
     inside = edges.filter("kind = 'contains'").select("source", "target").distinct().join(containers, "source", "left_semi")
-    back = edges.filter("kind <> 'contains'").select("source", "target").distinct()
-    space = Workspace(edges.sparkSession, "impact")
-    inside, _ = space.write(inside, "inside")
-    back, _ = space.write(reversed_links(back), "back")
-    start = seeds.select("seed", F.col("seed").alias("id")).distinct()
-    done: list[DataFrame] = []
-    frontier, depth = start, 0
-    while True:
-        # members of containers join the level, however deep containers nest
-        level, seen = space.write(frontier.select("seed", "id"), f"level={depth}-0")
-        parts, n, newest = [level], 0, level
-        while seen["rows"]:
-            n += 1
-            members = newest.select("seed", F.col("id").alias("source")).join(inside, "source").select("seed", F.col("target").alias("id")).distinct()
-            known = reduce(DataFrame.unionByName, [*[d.select("seed", "id") for d in done], *parts])
-            newest, seen = space.write(members.join(known, ["seed", "id"], "left_anti"), f"level={depth}-{n}")
-            parts.append(newest)
-        whole = reduce(DataFrame.unionByName, parts)
-        done.append(whole.select("seed", "id", F.lit(depth).alias("depth")))
-        if depth == max_depth:
-            return reduce(DataFrame.unionByName, done)
-        depth += 1
-        ahead = whole.select("seed", F.col("id").alias("source")).join(back, "source").select("seed", F.col("target").alias("id")).distinct()
-        frontier = ahead.join(reduce(DataFrame.unionByName, done).select("seed", "id"), ["seed", "id"], "left_anti")
+    members = levels(inside, inside.select(F.col("source").alias("seed")).distinct()).filter("depth > 0").select(F.col("seed").alias("source"), F.col("id").alias("target"))
+    back, _ = space.write(reversed_links(edges.filter("kind <> 'contains'").select("source", "target").distinct()), "back")
+    members, back = (x.repartition(width, "source").persist() for x in (members, back))
+    newest, seen = seeds.select("seed", F.col("seed").alias("id")).distinct(), {"rows": 1}
+    reached = None
+    for depth in range(max_depth + 1):
+        step = lambda links: newest.select("seed", F.col("id").alias("source")).join(links, "source").select("seed", F.col("target").alias("id"))  # noqa: B023, E731
+        if depth:
+            found, _ = space.write(step(back).distinct().join(reached.select("seed", "id"), ["seed", "id"], "left_anti"), f"found={depth}")
+            newest = found
+        whole = newest.unionByName(step(members)).distinct()
+        if reached is not None:
+            whole = whole.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
+        newest, seen = space.append(whole.select("seed", "id"), "reached", "depth", depth)
+        reached = space.whole("reached", newest, "depth")
+        if not seen["rows"]:
+            break
+    members.unpersist()
+    back.unpersist()
+    return reached.select("seed", "id", "depth")
 
 
 def cyclic(links: DataFrame) -> DataFrame:
