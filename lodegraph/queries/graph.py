@@ -270,12 +270,11 @@ def h18_inherited_member(g: Graph) -> DataFrame:
     return found.join(members.withColumnRenamed("id", "type_id"), ["type_id", "name"], "left_anti").select("type_id", "name", "depth")
 
 
-@query(with_(N, L) + "select s.name, s.language, string_agg(distinct t.name, ',' order by t.name) as supertypes from l join n s on s.id = l.source join n t on t.id = l.target where l.kind in ('extends', 'implements') and s.name is not null group by 1, 2")
+@query(with_(N, L) + "select distinct s.name, s.language, t.name as supertype from l join n s on s.id = l.source join n t on t.id = l.target where l.kind in ('extends', 'implements') and s.name is not null")
 def h19_supertypes_by_name(g: Graph) -> DataFrame:
     nodes = g.nodes("name", "language")
     met = g.links("extends", "implements").join(nodes.withColumnRenamed("id", "source"), "source").filter("name is not null")
-    met = met.join(nodes.select(F.col("id").alias("target"), F.col("name").alias("super")), "target").select("name", "language", "super").distinct()
-    return met.groupBy("name", "language").agg(F.array_join(F.array_sort(F.collect_list("super")), ",").alias("supertypes"))
+    return met.join(nodes.select(F.col("id").alias("target"), F.col("name").alias("supertype")), "target").select("name", "language", "supertype").distinct()
 
 
 @query(with_(N, L, DEPS) + """select file_path as path from n where kind not in ('file', 'import') group by file_path
@@ -311,14 +310,13 @@ def explore_files(g: Graph, seeds: DataFrame) -> DataFrame:
     return strongest(files, ["seed"], [F.desc("tier"), F.desc("n_symbols"), "file_path"], 10).select("seed", "file_path", "tier", "n_symbols", "rank")
 
 
-@query(with_(N, L) + f"select l.source as container_id, count(*) as n_members, string_agg(n.name, ',' order by n.start_line, n.start_column, n.id) as outline from l join n on n.id = l.target join n c on c.id = l.source and c.kind in ({_CONTAINERS}) where l.kind = 'contains' group by 1")
+@query(with_(N, L) + f"select l.source as container_id, n.id as member_id, n.name, n.kind, n.start_line, n.start_column from l join n on n.id = l.target join n c on c.id = l.source and c.kind in ({_CONTAINERS}) where l.kind = 'contains'")
 def m4_outline(g: Graph) -> DataFrame:
-    """Members of every container in source order."""
+    """Members of every container with their places: one row each, so that no container is gathered into one value."""
     nodes = g.nodes("kind", "name", "start_line", "start_column")
     inside = nodes.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("source"))
-    met = g.links("contains").join(inside, "source", "left_semi").join(nodes.withColumnRenamed("id", "target").drop("kind"), "target")
-    members = F.array_sort(F.collect_list(F.struct("start_line", "start_column", "target", "name")))
-    return met.groupBy(F.col("source").alias("container_id")).agg(count().alias("n_members"), members.alias("m")).select("container_id", "n_members", F.array_join(F.transform("m", lambda x: x["name"]), ",").alias("outline"))
+    met = g.links("contains").select("source", "target").join(inside, "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target")
+    return met.select(F.col("source").alias("container_id"), F.col("target").alias("member_id"), "name", "kind", "start_line", "start_column")
 
 
 @query(_reach("p as (select distinct source, target from l where kind in ('extends', 'implements', 'overrides', 'decorates'))", "seeds as (select distinct source as seed from l where kind = 'extends')", L, depth=60).replace("select seed, id, min(depth) as depth", "select distinct seed, id").replace("group by 1, 2", ""))

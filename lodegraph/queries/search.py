@@ -49,6 +49,20 @@ def s3_bm25(g: Graph) -> DataFrame:
     return S.bm25(g.nodes("name", "qualified_name", "docstring", "signature"), S.terms(TEXT)).select("id", F.round("score", 6).alias("score"))
 
 
+@query(with_(N, _bm25(S.terms(TEXT))) + "select id, round(score, 6) as score from bm")
+def s17_index_update(g: Graph) -> DataFrame:
+    """The same scores from an index of the first sightings that was updated by the symbols whose newest sighting differs."""
+    columns = ["name", "qualified_name", "docstring", "signature"]
+    seen = g.raw("nodes").filter("id is not null")
+    first = seen.groupBy("id").agg(F.min_by(F.struct(*columns), "updated_at").alias("x")).select("id", "x.*")
+    newest = g.nodes(*columns)
+    sides = first.withColumn("side", F.lit(-1)).unionByName(newest.withColumn("side", F.lit(1))).groupBy("id", *columns).agg(F.sum("side").alias("side"))
+    changed = sides.filter("side <> 0")
+    index = S.SearchIndex(first)
+    index.update(changed.select("id"), changed.filter("side > 0").select("id", *columns))
+    return index.bm25(S.terms(TEXT)).select("id", F.round("score", 6).alias("score"))
+
+
 @query(with_(N) + f"select id, score from (select id, case when lower(name) = '{LIKE_TEXT}' then 1.0 when starts_with(lower(name), '{LIKE_TEXT}') then 0.9 when contains(lower(name), '{LIKE_TEXT}') then 0.8 when contains(lower(qualified_name), '{LIKE_TEXT}') then 0.7 end::double as score from n) where score is not null")
 def s4_like_ladder(g: Graph) -> DataFrame:
     return S.like_ladder(g.nodes("name", "qualified_name"), LIKE_TEXT)

@@ -380,11 +380,11 @@ def e13_relationship_map(g: Graph) -> DataFrame:
     return strongest(g.links(), ["kind"], ["source", "target"], 10).select("kind", "source", "target", F.col("rank"))
 
 
-@query(with_(N) + "select file_path, count(*) as n_symbols, string_agg(name, ',' order by start_line, start_column, id) as names from n where kind in ('class', 'struct', 'interface', 'trait', 'enum', 'namespace') group by file_path")
+@query(with_(N) + "select file_path, kind, count(*) as n_symbols, arg_min(name, row(start_line, start_column, id)) as first_name from n where kind in ('class', 'struct', 'interface', 'trait', 'enum', 'namespace') group by file_path, kind")
 def e16_symbols_by_file(g: Graph) -> DataFrame:
+    """Types of every file by kind, and the first of them; nothing is gathered into one value."""
     rows = g.nodes("kind", "name", "file_path", "start_line", "start_column").filter(F.col("kind").isin("class", "struct", "interface", "trait", "enum", "namespace"))
-    listed = F.array_sort(F.collect_list(F.struct("start_line", "start_column", "id", "name")))
-    return rows.groupBy("file_path").agg(count().alias("n_symbols"), listed.alias("l")).select("file_path", "n_symbols", F.array_join(F.transform("l", lambda x: x["name"]), ",").alias("names"))
+    return rows.groupBy("file_path", "kind").agg(count().alias("n_symbols"), F.min_by("name", F.struct("start_line", "start_column", "id")).alias("first_name"))
 
 
 # --- ranking and sets
