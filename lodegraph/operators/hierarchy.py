@@ -122,13 +122,27 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 
 def loop_members(links: DataFrame, tree: DataFrame) -> DataFrame:
-    """(kind, node_id) of the nodes on a loop itself, among those that no root settles: the cyclic ones over links between such nodes."""
+    """(kind, node_id) of the nodes on a loop itself, among those that no root settles.
+
+    Where each of them has one parent, nodes without children are peeled off level by level, and loops stay.  Where some have
+    several, what stays can also lead from loop to loop, and the cyclic nodes are sought instead.
+    """
+    spark = links.sparkSession
+    space = Workspace(spark, "loops")
     lost = tree.filter("depth = -1").select("kind", "node_id")
     inner = links.join(lost.withColumnRenamed("node_id", "child"), ["kind", "child"], "left_semi").join(lost.withColumnRenamed("node_id", "parent"), LINK, "left_semi")
-    name = lambda c: F.concat_ws("\x00", "kind", c)
-    found = cyclic(inner.select(name("parent").alias("source"), name("child").alias("target")))
-    parts = F.split("id", "\x00", 2)
-    return found.select(parts[0].alias("kind"), parts[1].alias("node_id"))
+    inner, seen = space.write(inner.select("kind", "parent", "child"), "round=0")
+    _, several = space.write(inner.groupBy("kind", "child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    if several["rows"]:
+        name = lambda c: F.concat_ws("\x00", "kind", c)
+        found = cyclic(inner.select(name("parent").alias("source"), name("child").alias("target")))
+        parts = F.split("id", "\x00", 2)
+        return found.select(parts[0].alias("kind"), parts[1].alias("node_id"))
+    before, n = -1, 0
+    while seen["rows"] != before:
+        before, n = seen["rows"], n + 1
+        inner, seen = space.write(inner.join(inner.select("kind", F.col("parent").alias("child")).distinct(), ["kind", "child"], "left_semi"), f"round={n}")
+    return inner.select("kind", F.col("child").alias("node_id")).distinct()
 
 
 def project_links(spark: SparkSession, folder: str) -> DataFrame:
