@@ -53,6 +53,24 @@ def told(docstring: pd.Series, name: pd.Series, signature: pd.Series, language:
     return pd.Series([telling(d, n, s, g) if d else "" for d, n, s, g in zip(docstring, name, signature, language)], dtype=object)
 
 
+@F.pandas_udf("description string, by string")
+def told_by(docstring: pd.Series, doc: pd.Series, name: pd.Series, signature: pd.Series, language: pd.Series) -> pd.DataFrame:
+    """What the indexed documentation tells, else what the source's does; ('', null) if neither does."""
+    rows = []
+    for indexed, source, n, s, g in zip(docstring, doc, name, signature, language):
+        said = telling(indexed, n, s, g) if indexed else ""
+        if said:
+            rows.append((said, "index"))
+        else:
+            said = telling(source, n, s, g) if source else ""
+            rows.append((said, "source" if said else None))
+    return pd.DataFrame(rows, columns=["description", "by"])
+
+
+#: Each text is judged once: a filter on a deterministic function would be pushed below the projection and evaluate it again.
+told_by = told_by.asNondeterministic()
+
+
 def functions(nodes: DataFrame) -> DataFrame:
     """The newest sighting of every function and method."""
     latest = newest(nodes, "id", [F.col("updated_at")], ["kind", "name", "file_path", "language", "start_line", "end_line", "docstring", "signature"])
@@ -79,13 +97,12 @@ def code_description_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     ``documented_by`` is 'index' where the newest docstring tells something, else 'source'.
     """
     met = with_islands(functions(nodes), texts)
-    met = met.withColumn("_index", told("docstring", "name", "signature", "language")).withColumn("_source", F.when(F.col("_index") == "", told("island.doc", "name", "signature", "language")).otherwise(""))
-    met = met.filter("_index <> '' or _source <> ''")
-    by_index = F.col("_index") != ""
+    met = met.withColumn("_told", told_by("docstring", "island.doc", "name", "signature", "language")).filter("_told.by is not null")
+    by_index = F.col("_told.by") == "index"
     return met.select(
         "id", "kind", "name", "language", "file_path",
         F.coalesce("island.at", "start_line").alias("start_line"), F.coalesce("island.end", "end_line").alias("end_line"),
-        "signature", F.when(by_index, F.col("_index")).otherwise(F.col("_source")).alias("description"), F.when(by_index, "index").otherwise("source").alias("documented_by"),
+        "signature", F.col("_told.description").alias("description"), F.col("_told.by").alias("documented_by"),
         F.when(by_index, F.col("docstring")).otherwise(F.col("island.doc")).alias("docstring"), F.col("island.code").alias("code"),
         (F.col("island.at").eqNullSafe(F.col("start_line")) & F.col("island.end").eqNullSafe(F.col("end_line"))).alias("same_span"),
     )
