@@ -53,7 +53,7 @@ def told(docstring: pd.Series, name: pd.Series, signature: pd.Series, language:
     return pd.Series([telling(d, n, s, g) if d else "" for d, n, s, g in zip(docstring, name, signature, language)], dtype=object)
 
 
-@F.pandas_udf("description string, by string")
+@F.pandas_udf(T.StructType([T.StructField("description", T.StringType()), T.StructField("by", T.StringType())]))
 def told_by(docstring: pd.Series, doc: pd.Series, name: pd.Series, signature: pd.Series, language: pd.Series) -> pd.DataFrame:
     """What the indexed documentation tells, else what the source's does; ('', null) if neither does."""
     rows = []
@@ -67,10 +67,6 @@ def told_by(docstring: pd.Series, doc: pd.Series, name: pd.Series, signature: pd
     return pd.DataFrame(rows, columns=["description", "by"])
 
 
-#: Each text is judged once: a filter on a deterministic function would be pushed below the projection and evaluate it again.
-told_by = told_by.asNondeterministic()
-
-
 def functions(nodes: DataFrame) -> DataFrame:
     """The newest sighting of every function and method."""
     latest = newest(nodes, "id", [F.col("updated_at")], ["kind", "name", "file_path", "language", "start_line", "end_line", "docstring", "signature"])
@@ -97,7 +93,8 @@ def code_description_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     ``documented_by`` is 'index' where the newest docstring tells something, else 'source'.
     """
     met = with_islands(functions(nodes), texts)
-    met = met.withColumn("_told", told_by("docstring", "island.doc", "name", "signature", "language")).filter("_told.by is not null")
+    # Each text is judged once: a filter on a deterministic function would be pushed below the projection and evaluate it again.
+    met = met.withColumn("_told", told_by.asNondeterministic()("docstring", "island.doc", "name", "signature", "language")).filter("_told.by is not null")
     by_index = F.col("_told.by") == "index"
     return met.select(
         "id", "kind", "name", "language", "file_path",
