@@ -46,25 +46,45 @@ def reversed_links(links: DataFrame) -> DataFrame:
 def bfs(links: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int, edge_kinds: list[str] | None = None, refuse_kinds: list[str] | None = None, direction: str = "out", limit: int = 1000) -> DataFrame:
     """(seed, id, depth, rank): breadth-first levels over (source, target, kind) with the options of a traversal.
 
-    ``direction`` is out, in or both.  Nodes of ``refuse_kinds`` are neither taken nor passed; a seed is never refused.  Per seed
-    the first ``limit`` nodes are kept, by depth, then by the edge that reached them (containment, calls, others), then by id;
-    the limit is cut after the traversal, so that it does not depend on the order in which edges are read.
+    ``direction`` is out, in or both.  Nodes of ``refuse_kinds``, and ends that are not in ``nodes``, are neither taken nor passed; a
+    seed is never refused.  Per seed the first ``limit`` nodes are kept, by depth, then by the edge that reached them (containment,
+    calls, others), then by id, so that the limit does not depend on the order in which edges are read.
+
+    The first ``limit`` neighbours of a node in that order are all that can matter: what comes before a kept node among the neighbours of
+    the one that reached it is either nearer to the seed or itself kept before it, so it is fewer than ``limit``.  By the same count a seed with
+    ``limit`` nodes goes no further.  So hubs are short lists, and no level holds more than ``limit`` squared candidates per seed.
     """
-    kept = links.filter(F.col("kind").isin(*edge_kinds)) if edge_kinds else links
+    spark = links.sparkSession
+    space, width = Workspace(spark, "bfs"), shuffle_width(spark)
+    kept = (links.filter(F.col("kind").isin(*edge_kinds)) if edge_kinds else links).filter("source <> target")
     kept = kept.select("source", "target", F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2).alias("priority"))
-    back = kept.select(F.col("target").alias("source"), F.col("source").alias("target"), "priority")
-    kept = {"out": kept, "in": back, "both": kept.unionByName(back)}[direction].groupBy("source", "target").agg(F.min("priority").alias("priority"))
-    if refuse_kinds:
-        kept = kept.join(nodes.filter(F.col("kind").isin(*refuse_kinds)).select(F.col("id").alias("target")), "target", "left_anti")
-    space = Workspace(links.sparkSession, "bfs")
-    kept, _ = space.write(kept.select("source", "target", "priority"), "links")
-    reach = levels(kept, seeds, max_depth).select("seed", "id", "depth")
-    before = reach.select("seed", F.col("id").alias("source"), (F.col("depth") + 1).alias("depth"))
-    by = reach.filter("depth > 0").join(kept.withColumnRenamed("target", "id"), "id").join(before, ["seed", "source", "depth"], "left_semi")
-    best = by.groupBy("seed", "id").agg(F.min("priority").alias("priority"))
-    ranked = reach.join(best, ["seed", "id"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
-    order = Window.partitionBy("seed").orderBy("depth", "priority", "id")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "id", "depth", "rank")
+    ahead, back = F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target"))
+    turn = lambda *ways: kept.select(F.inline(F.array(*ways)), "priority").repartition(width, "source")
+    near = turn(*{"out": [ahead], "in": [back], "both": [ahead, back]}[direction])
+    # Both ways, the links seen from their targets are the same rows in the same places; only those that are refused move again.
+    seen_from_target = near if direction == "both" else turn({"out": back, "in": ahead}[direction])
+    taken = nodes.filter(~F.col("kind").isin(*refuse_kinds)) if refuse_kinds else nodes
+    # An outer join, not an anti join: that one is pushed below the shuffle, which is then not shared.
+    refused = seen_from_target.join(taken.select(F.col("id").alias("source"), F.lit(True).alias("taken")), "source", "left").filter("taken is null")
+    # Below every priority, so that the least one tells what is refused.
+    refused = refused.select(F.col("target").alias("source"), F.col("source").alias("target"), (F.col("priority") - 3).alias("priority"))
+    near = near.unionByName(refused.repartition(width, "source")).groupBy("source", "target").agg(F.min("priority").alias("priority")).filter("priority >= 0")
+    order = Window.partitionBy("source").orderBy("priority", "target")
+    near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("source", "target", "priority").persist()
+    # place: depth * 3 + priority; size: nodes of the seed so far.
+    state = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("place"), F.lit(1).alias("rank"), F.lit(1).alias("size")).distinct()
+    order = Window.partitionBy("seed").orderBy("place", "id")
+    for depth in range(1, max_depth + 1):
+        open_ = state.filter((F.col("place") >= 3 * (depth - 1)) & (F.col("size") < limit)).select("seed", F.col("id").alias("source"))
+        found = open_.join(near, "source").select("seed", F.col("target").alias("id"), (F.col("priority") + 3 * depth).alias("place"))
+        found = state.select("seed", "id", "place").unionByName(found).repartition(width, "seed").groupBy("seed", "id").agg(F.min("place").alias("place"))
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("size", F.max("rank").over(Window.partitionBy("seed")))
+        state, seen = space.write(found, f"depth={depth}", metrics={"new": F.count(F.when(F.col("place") >= 3 * depth, 1))})
+        space.drop(f"depth={depth - 1}")
+        if not seen["new"]:
+            break
+    near.unpersist()
+    return state.filter(F.col("rank") <= limit).select("seed", "id", F.expr("cast(place div 3 as int)").alias("depth"), "rank")
 
 
 def shortest_paths(links: DataFrame, pairs: DataFrame, max_length: int | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ _BOTH = """p as (select source, target, case kind when 'contains' then 0 when 'c
   select seed, seed as id, 0 as depth, 0 as priority from seeds union all select seed, id, 1, priority from d1 union all select seed, id, 2, priority from d2)) where rk <= 40""")
 def h1_bfs_options(g: Graph) -> DataFrame:
     """Around every class, both ways over containment, calls and inheritance, no files, at most 40 nodes: containment before calls before the rest."""
-    return bfs(g.links(), g.nodes("kind"), classes(g), 2, edge_kinds=["contains", "calls", "extends"], refuse_kinds=["file"], direction="both", limit=40)
+    return bfs(g.raw("edges"), g.nodes("kind"), classes(g), 2, edge_kinds=["contains", "calls", "extends"], refuse_kinds=["file"], direction="both", limit=40)
 
 
 @query(with_(L, "p as (select source, target from l where kind in ('extends', 'implements'))", "r(node_id, ancestor_id) as (select source, target from p union select r.node_id, p.target from r join p on p.source = r.ancestor_id)", recursive=True) + "select node_id, ancestor_id from r where node_id <> ancestor_id")
